@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, quality
+from orrery.llm import chat, neardup, quality
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,6 +69,11 @@ FROM m
 """
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the adversarial one (-7), formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -111,6 +116,7 @@ FROM o GROUP BY conv_id
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op8_chat_formatting": op8_chat_formatting,
         "op10_quality_rules": op10_quality_rules,
     }
