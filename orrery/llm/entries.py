@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, neardup, quality
+from orrery.llm import chat, neardup, quality, substring
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -74,6 +74,32 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages of 35 words or more, cut from all documents."""
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents
+), win AS (
+  SELECT rid, i, md5(array_to_string(w[i : i + 34], chr(10))) AS g
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), rep AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1
+), gone AS (
+  SELECT rid, list(DISTINCT i + k) AS p FROM rep, (SELECT unnest(range(0, 35)) AS k) GROUP BY rid
+), k AS (
+  SELECT d.doc_id, len(w) AS n, list_filter(w, lambda x, i: p IS NULL OR NOT list_contains(p, i)) AS kept
+  FROM d LEFT JOIN gone USING (rid)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed,
+       sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM k
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the adversarial one (-7), formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -117,10 +143,11 @@ FROM o GROUP BY conv_id
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
         "op8_chat_formatting": op8_chat_formatting,
         "op10_quality_rules": op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op10_quality_rules": OP10_SQL}
