@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, neardup, quality, substring
+from orrery.llm import chat, mixing, neardup, quality, substring
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -100,6 +100,12 @@ FROM k
 """
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes from every document."""
+    found = mixing.taken_words(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the adversarial one (-7), formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -144,6 +150,7 @@ def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op5_source_mixing": op5_source_mixing,
         "op8_chat_formatting": op8_chat_formatting,
         "op10_quality_rules": op10_quality_rules,
     }
