@@ -9,11 +9,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, mixing, neardup, quality, substring
+from orrery.llm import chat, mixing, neardup, packing, quality, substring
 
+TOKENIZER = "word_bpe_49k.json"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where a public tokenizer file lies; it is never copied."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,6 +43,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
+
+
 OP10_SQL = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, text,
@@ -152,6 +165,7 @@ def queries() -> dict:
         "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mixing": op5_source_mixing,
         "op8_chat_formatting": op8_chat_formatting,
+        "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
     }
 
