@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, mixing, neardup, packing, quality, substring
+from orrery.llm import chat, mixing, neardup, packing, quality, substring, warc
 
 TOKENIZER = "word_bpe_49k.json"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,6 +119,27 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back from byte ranges."""
+    folder = warc.shared_folder(spark)
+    files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, files, folder)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation and the adversarial one (-7), formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -164,6 +185,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mixing": op5_source_mixing,
+        "op7_warc": op7_warc,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_packing": op9_packing,
         "op10_quality_rules": op10_quality_rules,
@@ -171,4 +193,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op10_quality_rules": OP10_SQL}
