@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat, mixing, neardup, packing, quality, substring, warc
+from orrery.llm import ann, chat, mixing, neardup, packing, quality, substring, warc
 
 TOKENIZER = "word_bpe_49k.json"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest of every embedding whose vec_id is divisible by 50."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 35 words or more, cut from all documents."""
     found = substring.remove_repeats(table(spark, sf_dir, "documents"))
@@ -183,6 +188,7 @@ FROM o GROUP BY conv_id
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mixing": op5_source_mixing,
         "op7_warc": op7_warc,
