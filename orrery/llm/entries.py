@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, mixing, neardup, packing, quality, substring, warc
+from orrery.llm import ann, chat, langid, mixing, neardup, packing, quality, substring, warc
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,6 +124,16 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four hash classes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    vocab = langid.vocabulary(tokenizer_path(PIECES))
+    model = langid.train(docs.where(~held_out), vocab)
+    found = langid.predict(docs.select("doc_id", "text"), vocab, *model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from byte ranges."""
     folder = warc.shared_folder(spark)
@@ -191,6 +201,7 @@ def queries() -> dict:
         "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_source_mixing": op5_source_mixing,
+        "op6_language_id": op6_language_id,
         "op7_warc": op7_warc,
         "op8_chat_formatting": op8_chat_formatting,
         "op9_packing": op9_packing,

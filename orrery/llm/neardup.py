@@ -12,10 +12,12 @@ under 1e-5, and the estimate falls below its floor of 0.55 with a chance under
 
 Groups stay cheap whatever their size. Equal sets are one class, with one row
 from then on. Within a band's bucket every class is compared to the smallest
-one only (a star); where that leaves a bucket in several components, classes
+one only (a star). Where that leaves a bucket in several components, classes
 of different components are compared with each other, so that no link between
-components is lost. Sets travel to a comparison in slices of a star's members,
-and a star's centre is sent once for each slice.
+components is lost: blocks of 256 classes meet in one task at a time, which
+looks at a pair in the first band that both share, and returns only links that
+join components. Sets travel to a star in slices of its members, and a star's
+centre is sent once for each slice.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; texts of one to four words are one shingle; equal rows share a
@@ -175,23 +177,140 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _block_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _role_sets, for the rows of blocks, with registers."""
+    for batch in batches:
+        sets = list(shingle_sets(*kernels.text_buffers(batch.column("text"))))
+        right = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("set_id").to_pylist(), strict=True)], bool)
+        own = [s for s, ok in zip(sets, right, strict=True) if ok]
+        cut = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes() for s in own]
+        sketch = [r.tobytes() for r in registers(own)] if own else []
+        kept = batch.filter(pa.array(right)).drop_columns(["set_id", "text"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cut, pa.binary()), pa.array(sketch, pa.binary())], names=[*kept.schema.names, "hashes", "registers"])
+
+
+def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between components among one block's rows; each found link joins
+    its components here, so that a block returns a spanning set of links."""
+    first, second, band = rows[0]["g1"], rows[0]["g2"], rows[0]["band"]
+    left = [r for r in rows if r["own"] == first]
+    right = left if first == second else [r for r in rows if r["own"] == second]
+    if not left or not right:
+        return []
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    made = {}
+
+    def hashes(r: dict) -> np.ndarray:
+        if r["node"] not in made:
+            made[r["node"]] = np.sort(_widen(r["hashes"]))
+        return made[r["node"]]
+
+    sketch = np.stack([np.frombuffer(r["registers"], np.uint16) for r in right])
+    sizes = np.array([len(r["hashes"]) // WIDTH for r in right], float)
+    group = np.array([r["c"] for r in right])
+    links = []
+    for i, r in enumerate(left):
+        own = np.frombuffer(r["registers"], np.uint16)
+        n = len(r["hashes"]) // WIDTH
+        near = (group != r["c"]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+        if first == second:
+            near[: i + 1] = False
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        shared = (sketch[at] == own).reshape(len(at), -1, BAND).all(2)
+        at = at[shared.argmax(1) == band]
+        if not len(at):
+            continue
+        at = at[likelihood_estimate(sketch[at], own[None, :], sizes[at], np.full(len(at), float(n))) >= FLOOR]
+        for j in at.tolist():
+            a, b = find(r["c"]), find(right[j]["c"])
+            if a == b:
+                continue
+            x, y = hashes(r), hashes(right[j])
+            place = np.searchsorted(x, y)
+            place[place == len(x)] = 0
+            both = int((x[place] == y).sum())
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                parent[max(a, b)] = min(a, b)
+                links.append((r["node"], right[j]["node"]))
+    return links
+
+
+def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block; one block (two slices of classes) is held."""
+    at, rows = None, []
+
+    def out():
+        links = _block_links(rows, percent) if rows else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (key := (row["bucket"], row["g1"], row["g2"])) != at:
+                yield out()
+                at, rows = key, []
+            rows.append(row)
+    yield out()
+
+
+def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """roles (node, set_id, ...) with the nodes' texts; few roles are broadcast."""
+    few = roles.count() <= BROADCAST_IDS
+    texts = docs.select(F.col("doc_id").alias("node"), "text").where(F.col("node").isNotNull())
+    return texts.join(F.broadcast(roles) if few else roles, "node")
+
+
+def _star_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that the full sets confirm. classes: node, n, set_id, registers."""
-    spark = docs.sparkSession
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(partial(_likely, floor=FLOOR), "a long, b long").checkpoint()
     fan = likely.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
     members = likely.join(fan, "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("salt"), F.col("b").alias("member"))
     centres = fan.select(F.col("a").alias("node"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
     roles = members.unionByName(centres).join(classes.select("node", "set_id"), "node").checkpoint()
-    few = roles.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where(F.col("node").isNotNull())
-    met = texts.join(F.broadcast(roles) if few else roles, "node").select("centre", "salt", "member", "set_id", "text")
+    met = _with_text(docs, roles).select("centre", "salt", "member", "set_id", "text")
     sets = met.mapInArrow(_role_sets, "centre long, salt int, member long, hashes binary")
     ready = sets.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
     return ready.mapInArrow(partial(_confirm, percent=percent), "a long, b long").checkpoint()
 
 
+def _cross_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
+    """Links between components that share a bucket. In each bucket the classes
+    outside the centre's component are dealt into slices, the others too; every
+    slice of the former meets every slice."""
+    named = (
+        stars.join(label.withColumnsRenamed({"component": "c"}), "node", "left")
+        .join(label.select(F.col("node").alias("root"), F.col("component").alias("cr")), "root", "left")
+        .select("bucket", "band", "node", F.coalesce("c", "node").alias("c"), F.coalesce("cr", "root").alias("cr"))
+    ).checkpoint()
+    mixed = named.where("c <> cr").groupBy("bucket").agg(F.count("*").alias("outside"))
+    sizes = named.groupBy("bucket").agg(F.count("*").alias("size")).join(mixed, "bucket")
+    slices = sizes.select("bucket", F.ceil(F.col("outside") / SLICE).cast("int").alias("so"), F.ceil((F.col("size") - F.col("outside")) / SLICE).cast("int").alias("si"))
+    dealt = named.join(slices, "bucket").withColumn("out", F.col("c") != F.col("cr"))
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("so"))).otherwise(F.col("so") + F.pmod(F.xxhash64("node"), F.col("si"))).cast("int")
+    upto = F.when(F.col("out"), F.col("so") + F.col("si")).otherwise(F.col("so"))
+    roles = (
+        dealt.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
+        .select("node", "bucket", "band", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "own", "c")
+        .join(classes.select("node", "set_id"), "node")
+    ).checkpoint()
+    if roles.isEmpty():
+        return None
+    met = _with_text(docs, roles).select("bucket", "band", "g1", "g2", "own", "node", "c", "set_id", "text")
+    kinds = "bucket long, band int, g1 int, g2 int, own int, node long, c long"
+    sets = met.mapInArrow(_block_sets, kinds + ", hashes binary, registers binary")
+    ready = sets.repartition("bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2")
+    return ready.mapInArrow(partial(_confirm_blocks, percent=percent), "a long, b long").checkpoint()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
@@ -205,37 +324,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     )
     classes = classes.checkpoint()
     width = BAND * 2
-    bands = classes.select(
-        "node",
-        "n",
-        F.explode(F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))).alias("bucket"),
-    )
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))
+    bands = classes.select("node", "n", F.posexplode(cuts).alias("band", "bucket"))
     roots = bands.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("root"), F.count("*").alias("size")).where("size > 1")
     near = f"100 * least(n, root.n) >= {percent} * greatest(n, root.n)"
-    stars = bands.join(roots.select("bucket", "root"), "bucket").select("bucket", F.col("root.node").alias("root"), "node", "n", F.expr(near).alias("near")).checkpoint()
+    stars = bands.join(roots.select("bucket", "root"), "bucket").select("bucket", "band", F.col("root.node").alias("root"), "node", F.expr(near).alias("near")).checkpoint()
     pairs = stars.where("near AND node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    links = _verified(docs, classes, pairs, percent)
+    links = _star_links(docs, classes, pairs, percent)
     label = connected_components(links).checkpoint()
-
-    # Buckets that hold several components: compare across them.
-    named = (
-        stars.join(label.withColumnRenamed("component", "c"), "node", "left")
-        .join(label.select(F.col("node").alias("root"), F.col("component").alias("cr")), "root", "left")
-        .select("bucket", "root", "node", "n", F.coalesce("c", "node").alias("c"), F.coalesce("cr", "root").alias("cr"))
-    ).checkpoint()
-    mixed = named.where("c <> cr").select("bucket").distinct()
-    left = named.where("c <> cr").select("bucket", "root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = named.where("node <> root").join(mixed, "bucket", "left_semi").select("bucket", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = (
-        left.join(right, "bucket")
-        .where(f"ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    ).checkpoint()
-    if not across.isEmpty():
-        links = links.unionAll(_verified(docs, classes, across, percent))
-        label = connected_components(links).checkpoint()
-
+    more = _cross_links(docs, classes, stars, label, percent)
+    if more is not None and not more.isEmpty():
+        label = connected_components(links.unionAll(more)).checkpoint()
     named = classes.select("set_id", "node").join(label, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.coalesce("component", "doc_id")
