@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, langid, mixing, neardup, packing, quality, substring, warc
+from orrery.llm import ann, chat, langid, license, mixing, neardup, packing, quality, substring, warc
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -118,6 +118,43 @@ FROM k
 """
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence that each document's text or one of its lines states."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license.scan(docs).drop("text")
+
+
+def _op4_sql() -> str:
+    """Templates, their sizes and bounds as a table of values."""
+    rows = ", ".join(
+        f"({k}, '{name}', [{', '.join(chr(39) + g + chr(39) for g in grams)}], {lo}, {hi})"
+        for k, (name, grams, lo, hi) in enumerate(license.prepared())
+    )
+    return rf"""
+WITH t(k, name, grams, lo, hi) AS (VALUES {rows}), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, text, string_split(text, chr(10)) AS l FROM documents
+), u AS (
+  SELECT rid, doc_id, CASE WHEN len(l) > 1 THEN list_prepend(text, l)
+                           WHEN regexp_matches(text, '[\p{{L}}\p{{N}}]') THEN l ELSE [] END AS units FROM d
+), e AS (
+  SELECT rid, unnest(range(0, len(units))) AS i,
+         unnest(list_transform(units, lambda x: string_split(trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' '))) AS w FROM u
+), g AS (
+  SELECT rid, i, list_distinct(list_transform(range(1, len(w)), lambda j: w[j] || ' ' || w[j + 1])) AS b FROM e
+), s AS (
+  SELECT rid, i, k, name, 2.0::DOUBLE * len(list_intersect(b, grams)) / (len(b) + len(grams)) AS d
+  FROM g JOIN t ON len(b) BETWEEN lo AND hi
+), r AS (
+  SELECT rid, count(DISTINCT i) AS c, count(DISTINCT i) FILTER (d >= {license.THRESHOLD}) AS m FROM s GROUP BY rid
+), x AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY d DESC, k, i) AS o FROM s WHERE d >= {license.THRESHOLD}) WHERE o = 1
+)
+SELECT doc_id, CAST(len(units) AS BIGINT) AS n_units, CAST(coalesce(c, 0) AS BIGINT) AS n_candidates,
+       CAST(coalesce(m, 0) AS BIGINT) AS n_matches, name AS license, d AS dice, CAST(x.i AS BIGINT) AS matched_unit
+FROM u LEFT JOIN r USING (rid) LEFT JOIN x USING (rid)
+"""
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     found = mixing.taken_words(table(spark, sf_dir, "documents"))
@@ -200,6 +237,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_nearest_neighbours": op2_nearest_neighbours,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_source_mixing": op5_source_mixing,
         "op6_language_id": op6_language_id,
         "op7_warc": op7_warc,
@@ -210,4 +248,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": OP3_SQL, "op7_warc": OP7_SQL, "op8_chat_formatting": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {
+        "op3_substring_dedup": OP3_SQL,
+        "op4_license_scan": _op4_sql(),
+        "op7_warc": OP7_SQL,
+        "op8_chat_formatting": OP8_SQL,
+        "op10_quality_rules": OP10_SQL,
+    }
