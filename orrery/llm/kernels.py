@@ -55,20 +55,29 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
-def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, hashes) of the words in a buffer of bytes."""
-    n = len(data)
-    values, space = _tables(lower)
-    if not n:
-        z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64)
-    gap = space[data]
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words in a buffer of bytes."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gap = _tables(False)[1][data]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
+    """Hashes of stretches of a buffer."""
+    n = len(data)
+    values = _tables(lower)[0]
     p, inv = powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(values[data] * p[:n], out=sums[1:])
-    return starts, ends, mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words in a buffer of bytes."""
+    starts, ends = word_spans(data)
+    return starts, ends, span_hashes(data, starts, ends, lower)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

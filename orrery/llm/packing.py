@@ -30,20 +30,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.kernels import blocks
+from orrery.llm.kernels import blocks, separated, span_hashes, text_buffers, word_spans
 from orrery.llm.session import prepare, rows_per
 
 CAPACITY, PIECE, END_ID = 2048, 512, 1
 GROUP = 1500
 #: Bytes of text tokenised at once; words that a worker remembers.
-CHUNK, REMEMBER = 1 << 20, 300_000
+CHUNK, REMEMBER = 1 << 20, 1_500_000
+
+
+def _split_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut before a last run of commas and stops, if a small Latin letter
+    stands before it: pre-tokens part there anyway, and fewer are distinct."""
+    stop = ends.copy()
+    for _ in range(3):
+        last = data[np.maximum(stop - 1, 0)]
+        stop -= ((last == 0x2C) | (last == 0x2E)) & (stop - starts > 1)
+    last, before = data[np.maximum(stop - 1, 0)], data[np.maximum(stop - 2, 0)]
+    plain = (last >= 0x61) & (last <= 0x7A)
+    accented = (before == 0xC3) & (last >= 0xA0) & (last <= 0xBF) & (last != 0xB7) & (stop - starts > 1)
+    cut = (stop < ends) & (plain | accented)
+    order = np.argsort(np.concatenate((starts, stop[cut])), kind="stable")
+    return np.concatenate((starts, stop[cut]))[order], np.concatenate((np.where(cut, stop, ends), ends[cut]))[order]
 
 
 class WordTokenizer:
     """Token ids of texts, encoding each distinct word once.
 
-    For tokenizers whose pre-tokens never cross white space: a text's ids are
-    then those of its words in order. Words are remembered up to a bound."""
+    For lower-casing tokenizers whose pre-tokens never cross white space: a
+    text's ids are then those of its words in order. Words are known by 64-bit
+    hashes and remembered up to a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,34 +68,59 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        #: Known hashes in order, the word of each, and words' ids end to end.
+        self.known = np.zeros(0, np.uint64)
+        self.word = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
-    def _learn(self, fresh: list[bytes]) -> None:
+    def _learn(self, fresh: list[bytes], hashes: np.ndarray) -> None:
         texts = [w.decode() for w in fresh]
         done = self.model.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(done.ids, np.uint32)
-        begin = np.fromiter((o[0] for o in done.offsets), np.int64, len(ids))
+        begin = np.array([o[0] for o in done.offsets], np.int64)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         count = np.diff(np.searchsorted(begin, starts))
+        number = len(self.at) - 1 + np.arange(len(fresh))
         self.ids = np.concatenate((self.ids, ids))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(count)))
-
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        split = [t.encode().split() if t else [] for t in texts]
-        if len(self.code) > REMEMBER:
+        place = np.searchsorted(self.known, hashes)
+        self.known, self.word = np.insert(self.known, place, hashes), np.insert(self.word, place, number)
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each begins) for the texts of an
+        Arrow buffer."""
+        data, first = separated(raw, at)
+        starts, ends = word_spans(data)
+        whole = data.tobytes()
+        if lower := b"<|" not in whole:  # special tokens are told apart by case
+            whole = whole.lower()
+            data = np.frombuffer(whole, np.uint8)
+            starts, ends = _split_points(data, starts, ends)
+        hashes, where, inverse = np.unique(span_hashes(data, starts, ends, lower), return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBER:
             self._forget()
-        code = self.code
-        before = len(code)
-        coded = [[code.setdefault(w, len(code)) for w in ws] for ws in split]
-        if len(code) > before:
-            self._learn(list(code)[before:])
-        for words in coded:
-            w = np.array(words, np.int64)
-            begin, size = self.at[w], self.at[w + 1] - self.at[w]
-            stop = np.cumsum(size)
-            yield self.ids[np.arange(stop[-1] if len(w) else 0) + np.repeat(begin - (stop - size), size)]
+        place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        new = self.known[place] != hashes if len(self.known) else np.ones(len(hashes), bool)
+        if new.any():
+            pick = where[new]
+            self._learn([whole[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], hashes[new])
+            place = np.searchsorted(self.known, hashes)
+        words = self.word[place][inverse] if len(hashes) else np.zeros(0, np.int64)
+        begin, size = self.at[words], self.at[words + 1] - self.at[words]
+        stop = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.arange(stop[-1]) + np.repeat(begin - stop[:-1], size)]
+        return ids, stop[np.searchsorted(starts, first)]
+
+
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process, so that tasks share what it remembers."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_word_tokenizers", {})
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
 
 
 def cuts(n: int, capacity: int, piece: int) -> list[int]:
@@ -89,17 +130,19 @@ def cuts(n: int, capacity: int, piece: int) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(path)
+    tokenizer = _tokenizer(path)
     for batch in batches:
-        docs, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-        for part in blocks(np.array([len(t or "") for t in texts]), CHUNK):
+        docs = batch.column("doc_id").to_pylist()
+        raw, at = text_buffers(batch.column("text"))
+        for part in blocks(np.diff(at), CHUNK):
             rows: list[tuple] = []
-            for doc, ids in zip(docs[part], tokenizer.encode(texts[part]), strict=True):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+            flat, stop = tokenizer.encode(raw, at[part.start : part.stop + 1])
+            for i, doc in enumerate(docs[part]):
+                ids = np.append(flat[stop[i] : stop[i + 1]], np.uint32(END_ID)).astype("<u4")
                 edge = cuts(len(ids), capacity, piece)
                 for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    raw = ids[a:b].tobytes()
-                    rows.append((doc, a, b - a, zlib.crc32(raw), len(ids), raw if with_ids else None))
+                    own = ids[a:b].tobytes()
+                    rows.append((doc, a, b - a, zlib.crc32(own), len(ids), own if with_ids else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
 
