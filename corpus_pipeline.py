@@ -1,11 +1,67 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage is a function of (spark, docs, sf_dir); all but the last return the
+columns of documents. run() writes each stage's result as Parquet to a folder
+under the shared one that the session names, and reads it again.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from orrery.llm import mixing, neardup, packing, quality, substring
+from orrery.llm.entries import tokenizer_path
+from orrery.llm.session import prepare
+
+#: Policy of the quality rules, seed of the mix.
+POLICY, SEED = "v2", 1
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the policy rejects."""
+    return quality.apply_policy(docs, POLICY)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return neardup.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat."""
+    return substring.deduplicated(docs)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix draws, a row for each document and pass over its source."""
+    return mixing.mixed_documents(docs, SEED)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids with their places in sequences."""
+    return packing.pack_documents(docs, tokenizer_path(), with_ids=True)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("source_mixing", source_mixing),
+    ("packing", pack),
+]
+#: Mixing draws at random and packing tokenises; SQL can't express either.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """All stages over documents, each written as Parquet and read again."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    prepare(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs

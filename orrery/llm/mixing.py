@@ -193,19 +193,18 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mix as documents: for each document and pass over its source, the
     words that the pass draws from it, with the document's other columns. Text
     is as it was if the pass draws all of it, else words joined by one space."""
-    mix = Mix(docs, seed)
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
+    rows = docs.select("doc_id", "source", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    mix = Mix(rows, seed)
     spans = (
         mix.drawn(mix.layout())
         .groupBy("source_no", "start", "pass")
         .agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans"), F.sum("words").alias("got"))
         .withColumnsRenamed({"source_no": "n", "start": "at"})
     )
-    full = mix.layout(carry)
     on = (F.col("source_no") == F.col("n")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
+    found = mix.layout(("__row",)).join(spans, on).withColumn("__words", words(F.col("__row.text")))
     parts = F.transform("spans", lambda s: F.array_join(F.slice("__words", (s["skip"] + 1).cast("int"), s["words"].cast("int")), " "))
-    text = F.when(F.col("got") == F.col("size"), F.col("text")).otherwise(F.array_join(parts, " "))
-    out = full.join(spans, on).withColumn("__words", words(F.col("text"))).withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    text = F.when(F.col("got") == F.col("size"), F.col("__row.text")).otherwise(F.array_join(parts, " "))
+    out = found.select("__row", text.alias("__text"))
+    fresh = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
+    return out.select(*[fresh.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])

@@ -344,9 +344,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs with one document of each group: that with the smallest doc_id.
 
-    Of repeated rows of that doc_id one row stays; rows without a doc_id stay
-    only if their text links with nothing."""
-    verdicts = near_duplicates(docs, percent)
-    kept = verdicts.where(F.col("kept") | (F.col("doc_id").isNull() & F.col("component_id").isNull())).select("doc_id").distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id"])
+    Of several rows of that doc_id one stays. Rows without a doc_id can't be
+    told apart by one, and stay."""
+    verdicts = near_duplicates(docs, percent).select("doc_id", "kept").checkpoint()
+    drop = verdicts.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
+    small = drop.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(drop) if small else drop, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = verdicts.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")).checkpoint()
+    if again.isEmpty():
+        return left
+    return left.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(
+        left.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    )

@@ -283,7 +283,7 @@ def _covered(at: np.ndarray, size: int, window: int) -> np.ndarray:
     return np.cumsum(steps)[:size] > 0
 
 
-def _remove(key: tuple, texts: pa.Table, hits: pa.Table, window: int, with_text: bool, carry: tuple[str, ...]) -> pa.Table:
+def _remove(key: tuple, texts: pa.Table, hits: pa.Table, window: int, with_text: bool, carry: bool) -> pa.Table:
     """Each text's words outside repeats, and the repeats as spans of words."""
     own = _sorted_chunk(texts)
     blocks = hits.filter(pc.equal(hits.column("step"), 0))
@@ -296,6 +296,7 @@ def _remove(key: tuple, texts: pa.Table, hits: pa.Table, window: int, with_text:
     twice[at[local]] = True
     starts = np.flatnonzero(twice)
     gone = _covered(starts, len(own.words), window)
+    texts = own.table.column("text").to_pylist() if with_text else []
     counts, removed, digests, kept, spans = [], [], [], [], []
     for i in range(len(own.cut) - 1):
         out = gone[own.cut[i] : own.cut[i + 1]]
@@ -305,7 +306,7 @@ def _remove(key: tuple, texts: pa.Table, hits: pa.Table, window: int, with_text:
         counts.append(len(words))
         removed.append(int(out.sum()))
         digests.append(hashlib.sha256(text).hexdigest())
-        kept.append(text.decode() if with_text else None)
+        kept.append((text.decode() if len(edges) else texts[i]) if with_text else None)
         spans.append(edges.tolist())
     made = {
         "n_words": pa.array(counts, pa.int64()),
@@ -314,26 +315,27 @@ def _remove(key: tuple, texts: pa.Table, hits: pa.Table, window: int, with_text:
         "kept_text": pa.array(kept, pa.string()),
         "spans": pa.array(spans, pa.list_(pa.int64())),
     }
-    names = ["doc_id", *carry]
+    names = ["doc_id", *(["__row"] if carry else [])]
     return pa.Table.from_arrays([*(own.table.column(c) for c in names), *made.values()], names=[*names, *made])
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, the columns to carry along,
-    n_words, n_removed, kept_sha256, kept_text (if asked for), spans (array:
-    begin and end of each removed run of words, by turns)."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, with_row: bool = False) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, n_words, n_removed,
+    kept_sha256 (of kept words joined by one space), kept_text (if asked for;
+    as it was where nothing goes), spans (array: begin and end of each removed
+    run of words, by turns), and if asked for the row itself as `__row`."""
     spark = docs.sparkSession
     prepare(spark)
     parts = partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"),
-        *carry,
+        *([F.struct(*rest).alias("__row")] if with_row else []),
     )
-    kinds = ", ".join(f"`{c}` {t}" for c, t in dealt.select(*carry).dtypes) + ", " if carry else ""
     grouped = dealt.groupBy("chunk")
     route = lambda m: m.repartition("part").sortWithinPartitions("part", "kind")
     asked = grouped.applyInArrow(_by(_ask_blocks, window=window, parts=parts), MESSAGE)
@@ -341,12 +343,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     whole = grouped.cogroup(hits.groupBy("chunk")).applyInArrow(_by2(_ask_windows, window=window, parts=parts), MESSAGE)
     settled = route(whole).mapInArrow(_settle, "chunk int, hits binary")
     both = hits.withColumn("step", F.lit(0)).unionByName(settled.withColumn("step", F.lit(1)))
+    row = f"`__row` {dealt.schema['__row'].dataType.simpleString()}, " if with_row else ""
     return grouped.cogroup(both.groupBy("chunk")).applyInArrow(
-        _by2(_remove, window=window, with_text=with_text, carry=carry),
-        f"doc_id long, {kinds}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<long>",
+        _by2(_remove, window=window, with_text=with_text, carry=with_row),
+        f"doc_id long, {row}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<long>",
     )
 
 
+def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with repeated passages cut from their texts (and n_chars set anew,
+    if there). A null text becomes an empty one."""
+    found = remove_repeats(docs, window, with_text=True, with_row=True)
+    fresh = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return found.select(*[(fresh[c] if c in fresh else F.col("__row")[c]).alias(c) for c in docs.columns])
+
+
 def _by(f, **fixed):
     def run(key, table):
         return f(key, table, **fixed)
