@@ -261,10 +261,15 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
 
 
 def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """roles (node, set_id, ...) with the nodes' texts; few roles are broadcast."""
-    few = roles.count() <= BROADCAST_IDS
+    """roles (node, set_id, ...) with the nodes' texts. Few roles are broadcast;
+    of more, few distinct nodes are, so that only their texts are shuffled."""
     texts = docs.select(F.col("doc_id").alias("node"), "text").where(F.col("node").isNotNull())
-    return texts.join(F.broadcast(roles) if few else roles, "node")
+    if roles.count() <= BROADCAST_IDS:
+        return texts.join(F.broadcast(roles), "node")
+    nodes = roles.select("node").distinct().checkpoint()
+    if nodes.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(nodes), "node", "left_semi")
+    return texts.join(roles, "node")
 
 
 def _star_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
