@@ -31,8 +31,9 @@ def merge_identity(obs: DataFrame) -> DataFrame:
     return obs.groupBy(*_keys(obs)).agg(F.count_distinct("model").alias("models")).where("models > 1").select(*_keys(obs), F.lit("identity").alias("rule"), F.col("models").cast("string").alias("detail"))
 
 
-def merged_kind(kind: Column = F.col("kind")) -> Column:
+def merged_kind(name: str = "kind") -> Column:
     """Aggregate: `unknown` yields to a concrete kind."""
+    kind = F.col(name)
     return F.coalesce(F.max(F.when(kind != "unknown", kind)), F.lit("unknown"))
 
 
@@ -93,8 +94,9 @@ def merge_relations(rels: DataFrame) -> DataFrame:
     return rels.groupBy(*keys).agg(*first, F.count_distinct(own_key(whole)).alias("n_values"))
 
 
-def merged_coverage(c: Column = F.col("coverage")) -> Column:
+def merged_coverage(name: str = "coverage") -> Column:
     """Aggregate: all complete or all unavailable stay so, anything else is partial."""
+    c = F.col(name)
     return F.when((F.min(c) == F.max(c)) & F.min(c).isin("complete", "unavailable"), F.min(c)).otherwise(F.lit("partial"))
 
 
