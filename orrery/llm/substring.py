@@ -33,6 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.llm import kernels
 from orrery.llm.session import partitions, prepare
@@ -329,12 +330,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     parts = partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total // CHUNK))
-    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    rest = T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in docs.schema if f.name != "text"])
+    row = F.struct(*[F.col(f"`{f.name}`") for f in rest]).cast(rest) if with_row else None
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
         F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"),
-        *([F.struct(*rest).alias("__row")] if with_row else []),
+        *([row.alias("__row")] if with_row else []),
     )
     grouped = dealt.groupBy("chunk")
     route = lambda m: m.repartition("part").sortWithinPartitions("part", "kind")
@@ -343,11 +345,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     whole = grouped.cogroup(hits.groupBy("chunk")).applyInArrow(_by2(_ask_windows, window=window, parts=parts), MESSAGE)
     settled = route(whole).mapInArrow(_settle, "chunk int, hits binary")
     both = hits.withColumn("step", F.lit(0)).unionByName(settled.withColumn("step", F.lit(1)))
-    row = f"`__row` {dealt.schema['__row'].dataType.simpleString()}, " if with_row else ""
-    return grouped.cogroup(both.groupBy("chunk")).applyInArrow(
-        _by2(_remove, window=window, with_text=with_text, carry=with_row),
-        f"doc_id long, {row}n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<long>",
-    )
+    made = T.StructType().add("doc_id", "long")
+    made = made.add("__row", rest) if with_row else made
+    made = made.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string").add("spans", T.ArrayType(T.LongType()))
+    return grouped.cogroup(both.groupBy("chunk")).applyInArrow(_by2(_remove, window=window, with_text=with_text, carry=with_row), made)
+
+
+def _nullable(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed at every depth, as Arrow tables have them."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_nullable(kind.elementType))
+    return T.MapType(kind.keyType, _nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
