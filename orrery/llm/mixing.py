@@ -202,9 +202,12 @@ def mixed_documents(docs: DataFrame, seed: int = 1) -> DataFrame:
         .withColumnsRenamed({"source_no": "n", "start": "at"})
     )
     on = (F.col("source_no") == F.col("n")) & (F.col("start") == F.col("at")) & (F.col("size") > 0)
-    found = mix.layout(("__row",)).join(spans, on).withColumn("__words", words(F.col("__row.text")))
-    parts = F.transform("spans", lambda s: F.array_join(F.slice("__words", (s["skip"] + 1).cast("int"), s["words"].cast("int")), " "))
-    text = F.when(F.col("got") == F.col("size"), F.col("__row.text")).otherwise(F.array_join(parts, " "))
+    found = mix.layout(("__row",)).join(spans, on)
+    # The words are bound once, as a lambda's argument: as a column they would be
+    # put in place of their name, and split anew for every span.
+    cut = lambda w: F.array_join(F.transform("spans", lambda s: F.array_join(F.slice(w, (s["skip"] + 1).cast("int"), s["words"].cast("int")), " ")), " ")
+    parts = F.get(F.transform(F.array(words(F.col("__row.text"))), cut), 0)
+    text = F.when(F.col("got") == F.col("size"), F.col("__row.text")).otherwise(parts)
     out = found.select("__row", text.alias("__text"))
     fresh = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*[fresh.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
