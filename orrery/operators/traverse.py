@@ -63,7 +63,8 @@ def traverse(
         raise EntityNotFound(root)
     _checkpoint_dir(entities)
     wanted = list(kinds)
-    edges = relations.where(F.col("kind").isin(wanted)) if wanted else relations
+    # Every level reads the edges; they are held for the length of the loop.
+    edges = (relations.where(F.col("kind").isin(wanted)) if wanted else relations).persist()
     steps = _ends(edges, direction)
     spark = entities.sparkSession
     nodes = frontier = spark.createDataFrame([(root, 0, 0)], "id string, depth int, found long").checkpoint()
@@ -90,11 +91,14 @@ def traverse(
             break
     ids = nodes.select("id")
     if expanded is None:  # max_depth 0: nothing is expanded
+        edges.unpersist()
         return Traversal(nodes.select("id", "depth"), relations.limit(0), False)
     incident = steps.join(expanded.withColumnRenamed("id", "near"), "near", "left_semi").select("id", "far")
     inside = incident.join(ids.withColumnRenamed("id", "far"), "far", "left_semi").select("id").distinct()
     cut = max_nodes is not None and not incident.join(ids.withColumnRenamed("id", "far"), "far", "left_anti").isEmpty()
-    return Traversal(nodes.select("id", "depth"), edges.join(inside, "id", "left_semi"), cut)
+    found = edges.join(inside, "id", "left_semi").checkpoint()
+    edges.unpersist()
+    return Traversal(nodes.select("id", "depth"), found, cut)
 
 
 def impact(entities: DataFrame, relations: DataFrame, root: str, max_depth: int | None = 3, max_nodes: int | None = 1000) -> tuple[DataFrame, Traversal]:
