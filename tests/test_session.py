@@ -30,7 +30,7 @@ def ask(router, method, **params):
 
 
 def test_rpc(router):
-    found = ask(router, "acc.search", name="a", limit=3)["result"]
+    found = ask(router, "engine.search", name="a", limit=3)["result"]
     assert found and {"id", "label", "kind", "path", "line_start", "line_end"} == set(found[0])
     node = ask(router, "getNode", id=found[0]["id"])["result"]
     assert node["id"] == found[0]["id"]
