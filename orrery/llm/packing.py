@@ -36,7 +36,7 @@ from orrery.llm.session import prepare, rows_per
 CAPACITY, PIECE, END_ID = 2048, 512, 1
 GROUP = 1500
 #: Bytes of text tokenised at once; words that a worker remembers.
-CHUNK, REMEMBER = 1 << 20, 1_500_000
+CHUNK, REMEMBER = 1 << 20, 1_000_000
 
 
 def _split_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,16 +113,6 @@ class WordTokenizer:
         return ids, stop[np.searchsorted(starts, first)]
 
 
-def _tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process, so that tasks share what it remembers."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_word_tokenizers", {})
-    if path not in kept:
-        kept[path] = WordTokenizer(path)
-    return kept[path]
-
-
 def cuts(n: int, capacity: int, piece: int) -> list[int]:
     """Where the pieces of n tokens begin, and n."""
     whole = n // capacity * capacity
@@ -130,7 +120,7 @@ def cuts(n: int, capacity: int, piece: int) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tokenizer = _tokenizer(path)
+    tokenizer = WordTokenizer(path)
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         raw, at = text_buffers(batch.column("text"))
