@@ -7,7 +7,10 @@ subspace. Codebooks and codes minimise an anisotropic loss: the residual's part
 parallel to the vector, which moves high scores, weighs more than the part
 across it. A query becomes a table of 16 scores per subspace, quantised to
 bytes; a scan adds up table entries for all codes of a block. The best of each
-block are scored exactly, in double precision, on the original vectors.
+block are scored exactly, in double precision, on the original vectors. Their
+k-th best score and the known residuals of the codes bound the scan's score of
+every class that can be as near; all classes within the bound are scored
+exactly too, so that the result is that of brute force.
 
 Equal vectors are one class first (with the smallest ids, as many as a query
 can need), so that a very common vector costs one code. Queries and classes
@@ -25,6 +28,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -42,8 +46,10 @@ SUB, CENTROIDS, ROUNDS = 2, 16, 6
 #: Weight of the parallel residual against the orthogonal one.
 ETA = 3.0
 QUERY_BLOCK, CLASS_BLOCK = 512, 4096
-#: Candidates of a block that are scored exactly, per query.
+#: Candidates of a block that are scored exactly first, per query.
 RERANK = 256
+#: Allowance for rounding in double precision.
+SLACK = 1e-9
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -111,21 +117,46 @@ def fit(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return books
 
 
-def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """Approximate scores (query, row), up to a factor and a shift per query:
-    sums of byte tables over four-bit codes (two to a byte, packed)."""
+def residuals(x: np.ndarray, codes: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(part along x, length of the part across it) of the residuals of unit rows."""
+    r = x - np.concatenate([books[j][codes[:, j]] for j in range(len(books))], 1)
+    along = (r * x).sum(1)
+    return along, np.sqrt(((r - along[:, None] * x) ** 2).sum(1))
+
+
+def least(score: float, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Least inner product of a unit query with the decoded rows whose cosine is
+    `score` or more. For a row x with residual r, of parts `along` and `across`,
+    it is s * (1 - along) - q . r_across at a cosine s, and q . r_across is at
+    most sqrt(1 - s**2) * across. That grows with s from 0 on if along < 1."""
+    part = math.sqrt(max(0.0, 1 - score * score)) if score > 0 else 1.0
+    return np.where(along < 1, score * (1 - along) - part * across, -np.inf) - SLACK
+
+
+def _tables(queries: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte tables (query, subspace, centroid), and the factor and shift of each
+    query that lead from sums of entries back to inner products."""
     m = len(books)
-    low, high = codes & 15, codes >> 4
     tables = np.einsum("qms,mcs->qmc", _padded(queries).reshape(len(queries), m, SUB), books)
     floor = tables.min(2, keepdims=True)
     step = (tables - floor).max((1, 2), keepdims=True) / 255 + 1e-30
-    tables = np.rint((tables - floor) / step).astype(np.uint16)
-    out = np.zeros((len(queries), len(codes)), np.uint16)
-    for j in range(m):
+    return np.rint((tables - floor) / step).astype(np.uint16), step[:, 0, 0], floor[:, :, 0].sum(1)
+
+
+def _sums(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    low, high = codes & 15, codes >> 4
+    out = np.zeros((len(tables), len(codes)), np.uint16)
+    for j in range(tables.shape[1]):
         out += tables[:, j][:, (low if j % 2 == 0 else high)[:, j // 2]]
     return out
 
 
+def scan(queries: np.ndarray, codes: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """Approximate scores (query, row), up to a factor and a shift per query:
+    sums of byte tables over four-bit codes (two to a byte, packed)."""
+    return _sums(_tables(queries, books)[0], codes)
+
+
 def pack4(codes: np.ndarray) -> np.ndarray:
     if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
@@ -133,14 +164,17 @@ def pack4(codes: np.ndarray) -> np.ndarray:
 
 
 def _index(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Blocks of classes: their ids, vectors and packed codes as three buffers."""
+    """Classes with their vectors, packed codes and the codes' residuals."""
     for batch in batches:
         if not batch.num_rows:
             continue
         raw = np.stack([np.frombuffer(b, np.float32) for b in batch.column("vector").to_pylist()])
-        codes = pack4(encode(_padded(unit(raw.astype(np.float64))), books))
-        cols = [batch.column("class"), batch.column("block"), batch.column("vector"), pa.array([c.tobytes() for c in codes], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["class", "block", "vector", "codes"])
+        x = _padded(unit(raw.astype(np.float64)))
+        codes = encode(x, books)
+        along, across = residuals(x, codes, books)
+        packed = pa.array([c.tobytes() for c in pack4(codes)], pa.binary())
+        cols = [batch.column("class"), batch.column("block"), batch.column("vector"), packed, pa.array(along), pa.array(across)]
+        yield pa.RecordBatch.from_arrays(cols, names=["class", "block", "vector", "codes", "along", "across"])
 
 
 def _search(key, classes: pa.Table, queries: pa.Table, books: np.ndarray, k: int, rerank: int) -> pa.Table:
@@ -153,11 +187,20 @@ def _search(key, classes: pa.Table, queries: pa.Table, books: np.ndarray, k: int
         x = np.stack([np.frombuffer(b, np.float32) for b in classes.column("vector").to_pylist()])[order]
         codes = np.stack([np.frombuffer(b, np.uint8) for b in classes.column("codes").to_pylist()])[order]
         q = np.stack([np.frombuffer(b, np.float32) for b in queries.column("vector").to_pylist()])
-        approx = scan(unit(q.astype(np.float64)), codes, books)
+        along, across = (classes.column(c).to_numpy()[order] for c in ("along", "across"))
+        tables, step, shift = _tables(unit(q.astype(np.float64)), books)
+        approx = _sums(tables, codes)
+        first = max(rerank, k + 1)
         for i, query in enumerate(queries.column("query_id").to_pylist()):
-            at = np.argpartition(-approx[i].astype(np.int32), min(rerank, len(ids) - 1))[:rerank]
-            at.sort()
+            at = np.argpartition(-approx[i].astype(np.int32), min(first, len(ids) - 1))[:first]
             exact = cosine(q[i], x[at])
+            if len(at) < len(ids):
+                # entries are off by half a step at most
+                decoded = (approx[i] + len(books) / 2) * step[i] + shift[i]
+                near = decoded >= least(np.partition(exact, -k - 1)[-k - 1], along, across)
+                near[at] = False
+                more = np.flatnonzero(near)
+                at, exact = np.concatenate((at, more)), np.concatenate((exact, cosine(q[i], x[more])))
             best = np.lexsort((ids[at], -exact))[: k + 1]
             q_ids += [query] * len(best)
             found += ids[at][best].tolist()
@@ -192,7 +235,7 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK)
     bytes_of = _to_bytes
     n_blocks = max(1, -(-members.where("n = 1").count() // CLASS_BLOCK))
     dealt = bytes_of(classes.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(n_blocks)).cast("int")), "class long, block int", ("class", "block"))
-    index = dealt.mapInArrow(partial(_index, books=books), "class long, block int, vector binary, codes binary").checkpoint()
+    index = dealt.mapInArrow(partial(_index, books=books), "class long, block int, vector binary, codes binary, along double, across double").checkpoint()
     asked = own.where("q").select(F.col("vec_id").alias("query_id"), "v").distinct()
     q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     asked = bytes_of(asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")), "query_id long, qb int", ("query_id", "qb"))

@@ -47,6 +47,38 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def near_copies():
+    """Vectors a third of which are one cluster of near copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4096, 64))
+    x[:1365] = x[0] + 0.005 * rng.normal(size=(1365, 64))
+    return x.astype(np.float32)
+
+
+def test_nearest_among_near_copies(spark):
+    x = near_copies()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    u = ann.unit(x.astype(np.float64))
+    for i in range(0, len(x), 50):
+        s = u @ u[i]
+        s[i] = -9
+        assert got[got["query_id"] == i].sort_values("rank")["vec_id"].tolist() == np.argsort(-s)[:5].tolist()
+
+
+def test_bound_holds_for_all_rows():
+    x, q = ann.unit(near_copies().astype(np.float64)), ann.unit(RNG.normal(size=(20, 64)))
+    books = ann.fit(x[::4])
+    codes = ann.encode(x, books)
+    made = np.concatenate([books[j][codes[:, j]] for j in range(len(books))], 1)
+    tables, step, shift = ann._tables(q, books)
+    decoded = (ann._sums(tables, ann.pack4(codes)) + len(books) / 2) * step[:, None] + shift[:, None]
+    assert (decoded >= q @ made.T - 1e-12).all()
+    for a, row in zip(q @ x.T, decoded):
+        for score in np.quantile(a, [0.01, 0.5, 0.9, 0.999]):
+            assert (row >= ann.least(score, *ann.residuals(x, codes, books)))[a >= score].all()
+
+
 def test_anisotropic_codes():
     x = ann.unit(RNG.normal(size=(500, 8)))
     books = ann.fit(x)
