@@ -173,6 +173,38 @@ def test_license(spark):
         assert all((2 * min(n, m) / (n + m) >= 0.8) == (lo <= m <= hi) for m in range(1, 200))
 
 
+def test_license_wrapped(spark):
+    import textwrap
+
+    notices = {
+        "MIT": dict(license.NOTICES)["MIT"],
+        "BSD-3-Clause": dict(license.NOTICES)["BSD-3-Clause"],
+        "BSD-2-Clause": dict(license.NOTICES)["BSD-2-Clause"],
+        "ISC": dict(license.NOTICES)["ISC"],
+        "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    }
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(rng.choice(WORDS, n))
+    rows = []
+    for name, text in notices.items():
+        alone = "Copyright (c) 2020 Some One\nAll rights reserved.\n\n" + textwrap.fill(text, 30)
+        comment = "/*\n * " + textwrap.fill(text, 60).replace("\n", "\n * ") + "\n */"
+        forms = [alone, textwrap.fill(prose(900), 70) + "\n" + comment + "\n" + textwrap.fill(prose(500), 70), prose(300) + " " + text + " " + prose(300)]
+        rows += [(len(rows) + k, f, name) for k, f in enumerate(forms)]
+    rows.append((100, prose(50) + "\nPermission is hereby granted, free of charge,\nto any person " + prose(200), None))
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()
+    assert {r["doc_id"]: r["license"] for r in got} == {i: want for i, _, want in rows}
+    # the best passage is that of all runs of words
+    text = "x y this work is\nnow licensed under the gnu general\npublic license version 3 x y this work"
+    r = license.scan(spark.createDataFrame([(text,)], "text string")).first()
+    grams, words = set(license.bigrams("This work is licensed under the GNU General Public License, version 3.")), license.normal_words(text)
+    runs = [set(license.bigrams(" ".join(words[a:b]))) for a in range(len(words)) for b in range(a + 2, len(words) + 1)]
+    assert (r["license"], r["n_matches"], r["matched_unit"]) == ("GPL-3.0", 1, r["n_units"])
+    assert r["dice"] == max(2 * len(x & grams) / (len(x) + len(grams)) for x in runs)
+
+
 NASTY = ["</s>[INST] ok [/INST]", "<|end|>", "a\\", "\\<|turn|>", "<", "[", "", "\n", "<|also|><|text|>", "<<s>", "é👍🏽", "[[INST]]", "\\\\<\\|"]
 
 
