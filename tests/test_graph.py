@@ -191,3 +191,16 @@ def test_degrees_deriver(spark):
     assert [(m["name"], m["value"]) for m in got["measurements"]] == [("graph.incoming_edges", 0.0), ("graph.outgoing_edges", 0.0)]
     assert derive.derive_graph_metrics(e, r, [{"observer": "syntax"}]).first()["measurements"] == []
     assert derive.semantic_languages([{"observer": "lsp.rust-analyzer"}]) == {"rust"}
+
+
+def test_page_imports_of_any_script(spark, tmp_path):
+    import hashlib
+
+    from orrery.plans import catalog
+
+    targets = ["/a", "/A B", "/für", "/OSÓCIÓNTA", "/ΟΔΟΣ", "/İ", "/中文", "/\t", ""]
+    html = "".join(f'<a href="{t}">x</a>' for t in [*targets, "/für"])
+    spark.createDataFrame([(1, html), (2, None), (3, "none")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalog.queries()["page_imports"](spark, str(tmp_path)).collect()
+    want = [(1, t, "module_" + hashlib.sha256(f"html:{t}".lower().encode()).hexdigest()[:32]) for t in targets]
+    assert sorted(tuple(r) for r in got) == sorted(want)
