@@ -9,7 +9,9 @@ piece's expected count over the segmentations of the training words.
 Words are maximal runs of letters, lower-cased; pieces are the vocabulary's
 pieces of letters, up to 8 of them, lower-cased. A letter that no piece covers
 counts as an unknown piece of one letter. All distinct words of a batch go
-through the passes at once, position by position.
+through the passes at once, position by position. Values are rescaled by a
+power of two at each position, whose exponents are carried, so that words of
+any length keep their probabilities.
 
 Training reads text and language of labelled rows only. It is bounded: about
 TRAIN_DOCS rows of each language, chosen by a hash of the text, and of those
@@ -73,60 +75,78 @@ class Lattice:
         # piece[t][l]: for words of t letters or more, the piece that ends there
         # and has l letters; -1: none. Words are sorted, so these are a suffix.
         self.first = [int(np.searchsorted(self.size, t)) for t in range(top + 1)]
-        self.top, self.piece = top, [[]]
+        self.top, self.piece, self.lengths = top, [[]], [[]]
         get = number.get
         for t in range(1, top + 1):
             suffix = self.words[self.first[t] :]
-            self.piece.append([np.fromiter((get(w[t - k : t], -1) for w in suffix), np.int32, len(suffix)) for k in range(1, min(t, PIECE_CHARS) + 1)])
+            found = [np.fromiter((get(w[t - k : t], -1) for w in suffix), np.int32, len(suffix)) for k in range(1, min(t, PIECE_CHARS) + 1)]
+            self.piece.append(found)
+            # lengths of which some word has a piece here (or an unknown letter)
+            self.lengths.append([k for k, at in enumerate(found, 1) if k == 1 or at.max() >= 0])
 
     def chances(self, prob: np.ndarray, t: int, k: int) -> np.ndarray:
         """Probabilities (word, language) of the pieces of k letters ending at t."""
         at = self.piece[t][k - 1]
         return np.where((at >= 0)[:, None], prob[at], UNKNOWN if k == 1 else 0.0)
 
-    def forward(self, prob: np.ndarray) -> list[np.ndarray]:
-        """alpha[t][word - first[t], language]: sum over segmentations of the
-        first t letters; scaled by 1e3 per letter against underflow."""
-        alpha = [np.ones((len(self.words), prob.shape[1]))]
+    def forward(self, prob: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """alpha[t][word - first[t], language] and exponents e[t]: the sum over
+        segmentations of the first t letters is alpha[t] * 2**e[t]."""
+        shape = (len(self.words), prob.shape[1])
+        alpha, power = [np.ones(shape)], [np.zeros(shape, np.int32)]
         for t in range(1, self.top + 1):
+            lengths = self.lengths[t]
+            shifts = [self.first[t] - self.first[t - k] for k in lengths]
+            base = power[t - 1][shifts[0] :]
             total = 0.0
-            for k in range(1, min(t, PIECE_CHARS) + 1):
-                before = alpha[t - k][self.first[t] - self.first[t - k] :]
-                total = total + before * self.chances(prob, t, k) * 1e3**k
+            for k, shift in zip(lengths, shifts, strict=True):
+                before = alpha[t - k][shift:] * self.chances(prob, t, k)
+                total = total + (before if k == 1 else np.ldexp(before, power[t - k][shift:] - base))
+            total, up = np.frexp(total)
             alpha.append(total)
-        return alpha
+            power.append(base + up)
+        return alpha, power
+
+    def _whole(self, each: list[np.ndarray]) -> np.ndarray:
+        """The value of each word (in the lattice's order) at its last letter."""
+        edges = [*self.first, len(self.words)]
+        return np.concatenate([each[t][: edges[t + 1] - edges[t]] for t in range(self.top + 1)])
 
     def log_likelihood(self, prob: np.ndarray) -> np.ndarray:
         """(word, language), in the order the words came."""
-        alpha = self.forward(prob)
+        alpha, power = self.forward(prob)
         out = np.empty((len(self.words), prob.shape[1]))
-        edges = [*self.first, len(self.words)]
-        for t in range(self.top + 1):
-            a, b = edges[t], edges[t + 1]
-            out[self.order[a:b]] = np.log(np.maximum(alpha[t][: b - a], 1e-300)) - t * math.log(1e3)
+        out[self.order] = np.log(self._whole(alpha)) + self._whole(power) * math.log(2)
         return out
 
     def expected(self, prob: np.ndarray, weight: np.ndarray, pieces: int) -> np.ndarray:
         """Expected counts of pieces in one language (a column), words weighted."""
-        alpha = self.forward(prob)
+        alpha, power = self.forward(prob)
         n = len(self.words)
-        whole = np.empty(n)
+        whole, last = self._whole(alpha)[:, 0], self._whole(power)[:, 0]
+        scale = weight[self.order] / whole
+        # beta[t] * 2**back[t]: sum over segmentations of the letters after t
         edges = [*self.first, n]
-        for t in range(self.top + 1):
-            whole[edges[t] : edges[t + 1]] = alpha[t][: edges[t + 1] - edges[t], 0]
-        scale = weight[self.order] / np.maximum(whole, 1e-300)
-        beta = [np.zeros(n - self.first[t]) for t in range(self.top + 1)]
+        beta: list[np.ndarray] = [np.zeros(0)] * (self.top + 1)
+        back: list[np.ndarray] = [np.zeros(0, np.int32)] * (self.top + 1)
         counts = np.zeros(pieces + 1)
-        for t in range(self.top, 0, -1):
+        for t in range(self.top, -1, -1):
             ends = edges[t + 1] - edges[t]
-            beta[t][:ends] = 1.0  # words of t letters end here
-            for k in range(1, min(t, PIECE_CHARS) + 1):
-                step = self.chances(prob, t, k)[:, 0] * 1e3**k * beta[t]
-                shift = self.first[t] - self.first[t - k]
-                beta[t - k][shift:] += step
-                at = self.piece[t][k - 1]
-                mass = alpha[t - k][shift:, 0] * step * scale[self.first[t] :]
+            own, exponent = np.zeros(n - self.first[t]), np.zeros(n - self.first[t], np.int32)
+            own[:ends] = 1.0  # words of t letters end here
+            if t < self.top:
+                exponent[ends:] = back[t + 1]
+            for k in range(1, min(self.top - t, PIECE_CHARS) + 1):
+                if k not in self.lengths[t + k]:
+                    continue
+                shift = self.first[t + k] - self.first[t]
+                step = self.chances(prob, t + k, k)[:, 0] * beta[t + k]
+                own[shift:] += step if k == 1 else np.ldexp(step, back[t + k] - exponent[shift:])
+                at = self.piece[t + k][k - 1]
+                mass = np.ldexp(alpha[t][shift:, 0] * step * scale[self.first[t + k] :], power[t][shift:, 0] + back[t + k] - last[self.first[t + k] :])
                 counts += np.bincount(np.where(at >= 0, at, pieces), mass, pieces + 1)
+            beta[t], up = np.frexp(own)
+            back[t] = exponent + up
         return counts[:pieces]
 
 

@@ -113,6 +113,23 @@ def test_expected_counts():
     assert got == pytest.approx([2 * split + 1, 2 * split, 2 * whole])
 
 
+@pytest.mark.parametrize("n", [200, 100_000])
+def test_long_words(n):
+    pieces = ["a", "b", "ab"]
+    number = {p: i for i, p in enumerate(pieces)}
+    prob = np.array([[0.3, 0.001], [0.3, 0.001], [0.4, 0.002]])
+    lattice = langid.Lattice(["ab" * (n // 2), "x" * n, "b"], number)
+    got = lattice.log_likelihood(prob)
+    assert got[0] == pytest.approx(n / 2 * np.log(prob[0] * prob[1] + prob[2]))
+    assert got[1] == pytest.approx(np.full(2, n * np.log(langid.UNKNOWN))) and got[2] == pytest.approx(np.log(prob[1]))
+    counts = lattice.expected(prob[:, :1], np.array([2.0, 1.0, 3.0]), 3)
+    assert counts == pytest.approx(n * np.array([0.09, 0.09, 0.4]) / 0.49 + [0, 3, 0])
+    languages, made = langid.fit({"p": {"ab" * (n // 2): 1, "a": 4}, "q": {"b": 9, "x" * n: 1}}, pieces, rounds=1)
+    assert np.isfinite(made).all() and made[0, 0] > made[0, 1]
+    total, _ = langid.Scorer(pieces, made).texts(["ab" * (n // 2) + " a", "b " * 5 + "x" * n])
+    assert total[0].argmax() == 0 and np.isfinite(total).all()
+
+
 def test_language(spark):
     say = {"en": "the quick brown fox jumps over the lazy dog and then it runs away", "de": "der schnelle braune fuchs springt über den faulen hund und läuft dann weg", "fr": "le rapide renard brun saute par dessus le chien paresseux puis il part"}
     rows = [(k, " ".join(RNG.permutation(t.split())), lang, "s") for k, (lang, t) in enumerate(list(say.items()) * 20)]
