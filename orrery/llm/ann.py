@@ -145,7 +145,8 @@ def _tables(queries: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _sums(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
     low, high = codes & 15, codes >> 4
-    out = np.zeros((len(tables), len(codes)), np.uint16)
+    # 257 entries of a byte fit in 16 bits
+    out = np.zeros((len(tables), len(codes)), np.uint16 if tables.shape[1] <= 257 else np.uint32)
     for j in range(tables.shape[1]):
         out += tables[:, j][:, (low if j % 2 == 0 else high)[:, j // 2]]
     return out

@@ -79,6 +79,11 @@ def test_bound_holds_for_all_rows():
             assert (row >= ann.least(score, *ann.residuals(x, codes, books)))[a >= score].all()
 
 
+def test_sums_of_wide_vectors():
+    for m in (257, 258, 768):
+        assert (ann._sums(np.full((2, m, 16), 255, np.uint16), ann.pack4(np.zeros((3, m), np.uint8))) == 255 * m).all()
+
+
 def test_anisotropic_codes():
     x = ann.unit(RNG.normal(size=(500, 8)))
     books = ann.fit(x)
