@@ -145,7 +145,7 @@ class Mix:
         each = max(LEAST_SLOTS, math.ceil(total / SHARDS))
         rows, used = [], np.zeros_like(left)
         for shard in range(math.ceil(total / each)):
-            drawn = rng.multivariate_hypergeometric(left, min(each, int(left.sum())), method="marginals") if left.max() < 10**9 else self._large(rng, left, each)
+            drawn = self._draw(rng, left, each)
             rows += [(shard, k, int(used[k]), int(c), self.blocks[k]) for k, c in enumerate(drawn) if c]
             left, used = left - drawn, used + drawn
         runs = spark.createDataFrame(rows, "shard int, source_no int, first long, count long, blocks long")
@@ -156,6 +156,13 @@ class Mix:
             partial(_slots, seed=self.seed), "shard int, source_no int, slot long, pass int, block long"
         )
 
+    @classmethod
+    def _draw(cls, rng: np.random.Generator, left: np.ndarray, each: int) -> np.ndarray:
+        """How many of a shard's blocks each source gives; the generator takes
+        counts whose sum is under 10**9."""
+        total = int(left.sum())
+        return rng.multivariate_hypergeometric(left, min(each, total), method="marginals") if total < 10**9 else cls._large(rng, left, each)
+
     @staticmethod
     def _large(rng: np.random.Generator, left: np.ndarray, each: int) -> np.ndarray:
         """The same draw where counts are beyond what the generator takes: a

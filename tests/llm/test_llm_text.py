@@ -241,6 +241,13 @@ def test_mixing(docs):
     assert mixing.taken_words(docs.limit(0)).count() == 0
 
 
+def test_mixing_draws_of_many_blocks():
+    owner = next(c for c in vars(mixing).values() if hasattr(c, "_draw"))
+    left = np.array([6 * 10**8] * 3)
+    drawn = owner._draw(np.random.default_rng(1), left, 10**6)
+    assert drawn.sum() == 10**6 and (drawn >= 0).all() and (drawn <= left).all()
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
