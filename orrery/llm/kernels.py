@@ -1,19 +1,23 @@
 """Vectorised word hashing for Python workers.
 
-Words are found and hashed for a whole batch of texts at once: prefix sums of
-a polynomial over the bytes give every word's hash by one subtraction, and the
-same over word hashes gives every window's. All arithmetic is modulo 2**64;
-hashes are finished by a bijective mixer.
+Words are found and hashed for a whole batch of texts at once: eight bytes of
+every word at a time go through a chain of bijections of 64 bits, and words of
+more than LONG bytes through BLAKE2. Hashes of runs of 1, 2, 4, ... words are
+joined pairwise, and those of a window from the binary digits of its width.
+No step is linear in what it reads, so that no pair of texts made of repeated
+patterns collides by construction. A lane is an independent hash: two lanes
+are 128 bits.
 """
 
 from __future__ import annotations
 
-import functools
+import hashlib
 
 import numpy as np
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SPACES = (0x20, *range(0x09, 0x0E))
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a word up to which it is hashed by arrays.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,69 +30,100 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@functools.lru_cache(maxsize=4)
-def _tables(lower: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: its 64-bit value (A-Z as a-z if lower) and whether it parts words."""
-    byte = np.arange(256, dtype=np.uint64)
-    if lower:
-        byte[65:91] += np.uint64(32)
-    space = np.zeros(256, bool)
-    space[list(_SPACES)] = True
-    return mix(byte + np.uint64(0xA5A5A5A5)), space
+def lowered(data: np.ndarray) -> np.ndarray:
+    """A buffer of bytes with A-Z as a-z."""
+    return data + ((data - np.uint8(65)) < 26).view(np.uint8) * np.uint8(32)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words in a buffer of bytes."""
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = (data == 0x20) | ((data - np.uint8(0x09)) < 5)
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    return edge[::2], edge[1::2]
 
 
-def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..base**n and their inverses, modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n + 1, 1 << 16)
-        inverse = pow(base, -1, 1 << 64)
-        both = []
-        for b in (base, inverse):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            both.append(np.multiply.accumulate(p))
-        have = _powers[base] = (both[0], both[1])
-    return have
+def _padded(data: np.ndarray) -> np.ndarray:
+    """The buffer with zeros up to a whole cell of eight bytes, and one more."""
+    out = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
+    out[: len(data)] = data
+    return out
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, ends) of the words in a buffer of bytes."""
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    gap = _tables(False)[1][data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    return edge[::2], edge[1::2]
+def _cell(cells: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next bytes from each place, `left` of them and eight at most."""
+    cell, shift = at >> 3, ((at & 7) << 3).astype(np.uint64)
+    x = cells[cell] >> shift
+    x |= (cells[cell + 1] << (np.uint64(63) - shift)) << np.uint64(1)
+    unused = (np.maximum(8 - left, 0) << 3).astype(np.uint64)
+    x <<= unused
+    x >>= unused
+    return x
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """Hashes of stretches of a buffer."""
-    n = len(data)
-    values = _tables(lower)[0]
-    p, inv = powers(n)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values[data] * p[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, lane: int = 0) -> np.ndarray:
+    """Hashes of stretches of a buffer, none of them empty."""
+    padded = _padded(lowered(data) if lower else data)
+    cells = padded.view("<u8")
+    size = ends - starts
+    seed = np.uint64(int(_ODD) * (lane + 1) % (1 << 64))
+    out = mix(mix(size.astype(np.uint64) + seed) ^ _cell(cells, starts, size))
+    live = np.flatnonzero((size > 8) & (size <= LONG))
+    at, left = starts[live] + 8, size[live] - 8
+    while len(live):
+        out[live] = mix(out[live] ^ _cell(cells, at, left))
+        more = np.flatnonzero(left > 8)
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=8, salt=bytes([lane]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
 
 
-def word_hashes(data: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each stretch has the bytes of the stretch that other names."""
+    padded, size = _padded(data), ends - starts
+    cells = padded.view("<u8")
+    out = size == size[other]
+    live = np.flatnonzero(out & (size <= LONG))
+    at, to, left = starts[live], starts[other[live]], size[live]
+    while len(live):
+        out[live] &= _cell(cells, at, left) == _cell(cells, to, left)
+        more = np.flatnonzero(left > 8)
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+    for i in np.flatnonzero(out & (size > LONG)).tolist():
+        out[i] = np.array_equal(data[starts[i] : ends[i]], data[starts[other[i]] : ends[other[i]]])
+    return out
+
+
+def word_hashes(data: np.ndarray, lower: bool, lane: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of the words in a buffer of bytes."""
     starts, ends = word_spans(data)
-    return starts, ends, span_hashes(data, starts, ends, lower)
+    return starts, ends, span_hashes(data, starts, ends, lower, lane)
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of runs a followed by runs b."""
+    x = a * _ODD
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of width consecutive words; empty if there are fewer."""
-    n = len(words)
-    if n < width:
+    n = len(words) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    p, inv = powers(n, _BASE ^ 0x5851F42D4C957F2C)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * p[:n], out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * inv[: n - width + 1])
+    run, size, out, have = words, 1, None, 0
+    while True:
+        if width & size:
+            part = run[have : have + n]
+            out, have = part if out is None else _joined(out, part), have + size
+        if 2 * size > width:
+            return mix(out + np.uint64(width))
+        run, size = _joined(run[:-size], run[size:]), 2 * size
 
 
 def blocks(lengths: np.ndarray, most: int) -> list[slice]:
