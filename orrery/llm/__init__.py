@@ -1,12 +1,5 @@
 """Operators of a training-data pipeline: ten, one module each.
 
-Nothing outside this folder imports it. Functions that run in Python workers
-are pickled by value, so that workers need not have the repository on their
-path.
+Nothing outside this folder imports it. Workers import it: session.prepare
+sends it to them, so that they need not have the repository on their path.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -24,3 +24,11 @@ def word_count(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     bare = F.btrim(text, F.lit(BLANKS))
     return F.when(F.length(bare) > 0, F.regexp_count(bare, F.lit(BLANK_CLASS)) + 1).otherwise(0).cast("long")
+
+
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column begins with, for columns of an operator's own."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
