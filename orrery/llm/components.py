@@ -5,35 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.session import hot_keys, join_spread
 
-def _turn(edges: DataFrame, larger: bool) -> DataFrame:
+#: Edges of a node from which it may count as a hub.
+HUB = 512
+
+
+def _turn(edges: DataFrame, larger: bool, total: int) -> DataFrame:
     """One star step. Large: each node's larger neighbours go to the smallest
     node of its neighbourhood. Small: its smaller neighbours and itself do."""
     if larger:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = hot_keys(least, "u", HUB, total)
+    least = least.select("u", F.least("u", "m").alias("m"))
+    joined = join_spread(both, least, "u", hubs)
     if larger:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct().checkpoint()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes that have an edge; the component is its
     smallest node. edges: a, b of one orderable type; loops and repeats are fine.
 
-    Each round is cut by checkpoint(), so that a lost executor costs one round;
-    rounds grow with the logarithm of the longest path. Only a count and a
-    checksum of the edges reach the driver.
+    Each turn is cut by checkpoint(), so that a lost executor costs one turn;
+    rounds grow with the logarithm of the longest path. Edges of hubs are not
+    shuffled to their hubs' tasks. Only a count and a checksum of the edges, and
+    the few hubs, reach the driver.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct()
-    seen = None
-    while True:
-        edges = _turn(_turn(edges, True), False).checkpoint()
+    edges = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct().checkpoint()
+    total, seen = 2 * edges.count(), None
+    while total:
+        edges = _turn(_turn(edges, True, total), False, total)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen or state[0] == 0:
             break

@@ -11,21 +11,23 @@ under 1e-5, and the estimate falls below its floor of 0.55 with a chance under
 1e-6.
 
 Groups stay cheap whatever their size. Equal sets are one class, with one row
-from then on. Within a band's bucket every class is compared to the smallest
-one only (a star). Where that leaves a bucket in several components, classes
+from then on. Within a band's bucket every class is compared to one of them
+only (a star). Where that leaves a bucket in several components, classes
 of different components are compared with each other, so that no link between
-components is lost: blocks of 256 classes meet in one task at a time, which
-looks at a pair in the first band that both share, and returns only links that
-join components. Sets travel to a star in slices of its members, and a star's
-centre is sent once for each slice.
+components is lost: blocks of 256 classes (or fewer long ones) meet in one task
+at a time, which looks at a pair in the first band that both share, and returns
+only links that join components. A star's members travel in slices of 256, and
+the centre's sketch and set are sent once for each slice. Rows of hot buckets,
+centres and hubs are not shuffled by those keys.
+
+Sets are compared by whole 64-bit hashes of shingles, and known by 128 bits.
 
 Defined results: null, empty and blank texts have an empty set and link with
 nothing; texts of one to four words are one shingle; equal rows share a
-component; rows of one doc_id and different texts go to
-the component of their own texts; a null doc_id
-has no node, and its row's component is that of its class, or null; very long
-texts are hashed whole; other columns are ignored; an empty table gives an
-empty result.
+component; rows of one doc_id and different texts go to the component of their
+own texts; a null doc_id links nothing, and its row's component is that of its
+class, or null; very long texts are hashed whole; other columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,38 +40,43 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.llm import kernels
 from orrery.llm.components import connected_components
-from orrery.llm.session import prepare
+from orrery.llm.session import hot_keys, join_spread, nullable, prepare
 
 SHINGLE = 5
 REGISTERS, BAND = 128, 4
 #: SetSketch: base of the registers' scale, rate, largest value.
 BASE, RATE, LARGEST = 1.001, 20.0, 65534
 FLOOR = 0.55
-#: Bytes kept of each 64-bit shingle hash where full sets are compared.
-WIDTH = 6
-#: Members of a star that one slice compares; ids that a broadcast may hold.
-SLICE, BROADCAST_IDS = 256, 200_000
+#: Sets of so few shingles are known by a second hash of each.
+FEW = 8
+#: Members of a star that one slice compares, and shingles that a slice of a
+#: bucket holds about; ids that a broadcast may hold.
+SLICE, SLICE_SHINGLES, BROADCAST_IDS = 256, 1 << 21, 200_000
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
 
-def shingle_sets(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
-    """For each text, its distinct shingle hashes in ascending order."""
+def shingle_sets(raw: np.ndarray, at: np.ndarray, shingle: int = SHINGLE) -> Iterator[tuple[np.ndarray, bytes]]:
+    """For each text, its distinct shingle hashes in ascending order, and the
+    128 bits that the set is known by."""
     for part in kernels.blocks(np.diff(at), CHUNK):
         data, first = kernels.separated(raw, at[part.start : part.stop + 1])
-        starts, _, words = kernels.word_hashes(data, lower=True)
+        starts, ends, words = kernels.word_hashes(data, lower=True)
         cut = np.searchsorted(starts, first)
+
+        def windows(own: np.ndarray) -> np.ndarray:
+            return kernels.window_hashes(own, min(len(own), shingle)) if len(own) else own
+
         for i in range(len(first) - 1):
-            own = words[cut[i] : cut[i + 1]]
-            if len(own) >= shingle:
-                yield np.unique(kernels.window_hashes(own, shingle))
-            elif len(own):
-                yield kernels.window_hashes(own, len(own)) ^ np.uint64(len(own))
-            else:
-                yield own
+            lo, hi = cut[i], cut[i + 1]
+            own, again = np.unique(windows(words[lo:hi])), b""
+            if 0 < len(own) <= FEW:
+                again = np.unique(windows(kernels.span_hashes(data, starts[lo:hi], ends[lo:hi], True, 1))).tobytes()
+            yield own, hashlib.blake2b(own.tobytes() + again, digest_size=16).digest()
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +106,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = list(shingle_sets(*kernels.text_buffers(batch.column("text"))))
-        ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        sets, ids = [*zip(*shingle_sets(*kernels.text_buffers(batch.column("text"))), strict=True)] or [(), ()]
         first = {d: i for i, d in reversed(list(enumerate(ids))) if len(sets[i])}
         rows = registers([sets[i] for i in first.values()]) if first else None
         sketch = {d: rows[k].tobytes() for k, d in enumerate(first)}
@@ -136,25 +142,33 @@ def _likely(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.Reco
         r1, r2 = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
         n1, n2 = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
         keep = likelihood_estimate(r1, r2, n1, n2) >= floor
-        yield batch.select(["a", "b"]).filter(pa.array(keep))
+        yield batch.drop_columns(["ra", "rb", "na", "nb"]).filter(pa.array(keep))
 
 
-def _role_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The set of each row's text, if it is the one that its class has."""
+def _own_sets(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.RecordBatch]:
+    """The sets of those rows whose text is one that their class has, and the
+    rows without set_id and text."""
+    found = list(shingle_sets(*kernels.text_buffers(batch.column("text"))))
+    right = np.array([d == own for (_, d), own in zip(found, batch.column("set_id").to_pylist(), strict=True)], bool)
+    sets = [s for (s, _), ok in zip(found, right, strict=True) if ok]
+    return sets, batch.drop_columns(["set_id", "text"]).filter(pa.array(right))
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch], sketched: bool) -> Iterator[pa.RecordBatch]:
+    """Rows with hashes (of a set) in place of set_id and text, and registers."""
     for batch in batches:
-        sets = list(shingle_sets(*kernels.text_buffers(batch.column("text"))))
-        right = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("set_id").to_pylist(), strict=True)], bool)
-        cut = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes() if ok else None for s, ok in zip(sets, right, strict=True)]
-        out = pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("centre", "salt", "member")), pa.array(cut, pa.binary())], names=["centre", "salt", "member", "hashes"]
-        )
-        yield out.filter(pa.array(right))
+        sets, kept = _own_sets(batch)
+        out = kept.append_column("hashes", pa.array([s.tobytes() for s in sets], pa.binary()))
+        if sketched:
+            out = out.append_column("registers", pa.array([r.tobytes() for r in registers(sets)] if sets else [], pa.binary()))
+        yield out
 
 
-def _widen(cut: bytes) -> np.ndarray:
-    out = np.zeros((len(cut) // WIDTH, 8), np.uint8)
-    out[:, :WIDTH] = np.frombuffer(cut, np.uint8).reshape(-1, WIDTH)
-    return out.view(np.uint64)[:, 0]
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two ascending sets share."""
+    place = np.searchsorted(x, y)
+    place[place == len(x)] = 0
+    return int((x[place] == y).sum())
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -163,32 +177,18 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     at, own = None, None
     for batch in batches:
         a, b = [], []
-        for centre, salt, member, cut in zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "member", "hashes")), strict=True):
+        for centre, salt, member, packed in zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "member", "hashes")), strict=True):
+            other = np.frombuffer(packed, np.uint64)
             if member is None:
-                at, own = (centre, salt), np.sort(_widen(cut))
+                at, own = (centre, salt), other
             elif at == (centre, salt):
-                other = _widen(cut)
-                place = np.searchsorted(own, other)
-                place[place == len(own)] = 0
-                both = int((own[place] == other).sum())
+                both = _shared(own, other)
                 if 100 * both >= percent * (len(own) + len(other) - both):
                     a.append(centre)
                     b.append(member)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _block_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _role_sets, for the rows of blocks, with registers."""
-    for batch in batches:
-        sets = list(shingle_sets(*kernels.text_buffers(batch.column("text"))))
-        right = np.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d for s, d in zip(sets, batch.column("set_id").to_pylist(), strict=True)], bool)
-        own = [s for s, ok in zip(sets, right, strict=True) if ok]
-        cut = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :WIDTH]).tobytes() for s in own]
-        sketch = [r.tobytes() for r in registers(own)] if own else []
-        kept = batch.filter(pa.array(right)).drop_columns(["set_id", "text"])
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(cut, pa.binary()), pa.array(sketch, pa.binary())], names=[*kept.schema.names, "hashes", "registers"])
-
-
 def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     """Links between components among one block's rows; each found link joins
     its components here, so that a block returns a spanning set of links."""
@@ -204,20 +204,16 @@ def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
             x = parent[x]
         return x
 
-    made = {}
-
     def hashes(r: dict) -> np.ndarray:
-        if r["node"] not in made:
-            made[r["node"]] = np.sort(_widen(r["hashes"]))
-        return made[r["node"]]
+        return np.frombuffer(r["hashes"], np.uint64)
 
     sketch = np.stack([np.frombuffer(r["registers"], np.uint16) for r in right])
-    sizes = np.array([len(r["hashes"]) // WIDTH for r in right], float)
+    sizes = np.array([len(r["hashes"]) // 8 for r in right], float)
     group = np.array([r["c"] for r in right])
     links = []
     for i, r in enumerate(left):
         own = np.frombuffer(r["registers"], np.uint16)
-        n = len(r["hashes"]) // WIDTH
+        n = len(r["hashes"]) // 8
         near = (group != r["c"]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
         if first == second:
             near[: i + 1] = False
@@ -234,9 +230,7 @@ def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
             if a == b:
                 continue
             x, y = hashes(r), hashes(right[j])
-            place = np.searchsorted(x, y)
-            place[place == len(x)] = 0
-            both = int((x[place] == y).sum())
+            both = _shared(x, y)
             if 100 * both >= percent * (len(x) + len(y) - both):
                 parent[max(a, b)] = min(a, b)
                 links.append((r["node"], right[j]["node"]))
@@ -261,103 +255,153 @@ def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator
 
 
 def _with_text(docs: DataFrame, roles: DataFrame) -> DataFrame:
-    """roles (node, set_id, ...) with the nodes' texts. Few roles are broadcast;
-    of more, few distinct nodes are, so that only their texts are shuffled."""
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where(F.col("node").isNotNull())
+    """roles (doc, set_id, ...) with the documents' texts. Few roles are
+    broadcast; of more, few distinct documents are, so that only their texts
+    are shuffled."""
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").where(F.col("doc").isNotNull())
     if roles.count() <= BROADCAST_IDS:
-        return texts.join(F.broadcast(roles), "node")
-    nodes = roles.select("node").distinct().checkpoint()
-    if nodes.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(nodes), "node", "left_semi")
-    return texts.join(roles, "node")
+        return texts.join(F.broadcast(roles), "doc").drop("doc")
+    wanted = roles.select("doc").distinct().checkpoint()
+    if wanted.count() <= BROADCAST_IDS:
+        texts = texts.join(F.broadcast(wanted), "doc", "left_semi")
+    return texts.join(roles, "doc").drop("doc")
 
 
 def _star_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that the full sets confirm. classes: node, n, set_id, registers."""
-    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(partial(_likely, floor=FLOOR), "a long, b long").checkpoint()
-    fan = likely.groupBy("a").agg(F.ceil(F.count("*") / SLICE).cast("int").alias("slices"))
-    members = likely.join(fan, "a").select(F.col("b").alias("node"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("salt"), F.col("b").alias("member"))
-    centres = fan.select(F.col("a").alias("node"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"))
-    roles = members.unionByName(centres).join(classes.select("node", "set_id"), "node").checkpoint()
+    """The pairs (a: centre, b: member) that the full sets confirm. classes:
+    node, doc, n, set_id, registers."""
+    pairs = pairs.checkpoint()
+    fan = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    hot = hot_keys(fan, "a", SLICE, pairs.count())
+    slices = F.lit(1)
+    if hot is not None:
+        wide = fan.join(F.broadcast(hot), "a", "left_semi").select("a", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+        pairs, slices = pairs.join(F.broadcast(wide), "a", "left"), F.coalesce("slices", F.lit(1))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), slices).cast("int").alias("salt"))
+    side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("registers").alias(f"r{c}"), F.struct("doc", "set_id").alias(f"s{c}"))
+    centres = dealt.select("a", "salt").distinct().join(side("a"), "a")
+    met = dealt.join(side("b"), "b").join(centres, ["a", "salt"])
+    kinds = "a long, salt int, b long, sa struct<doc:long,set_id:binary>, sb struct<doc:long,set_id:binary>"
+    likely = met.select("a", "salt", "b", "sa", "sb", "na", "nb", "ra", "rb").mapInArrow(partial(_likely, floor=FLOOR), kinds).checkpoint()
+    members = likely.select(F.col("a").alias("centre"), "salt", F.col("b").alias("member"), "sb.doc", "sb.set_id")
+    own = likely.select(F.col("a").alias("centre"), "salt", F.lit(None).cast("long").alias("member"), "sa.doc", "sa.set_id").distinct()
+    roles = members.unionByName(own).checkpoint()
     met = _with_text(docs, roles).select("centre", "salt", "member", "set_id", "text")
-    sets = met.mapInArrow(_role_sets, "centre long, salt int, member long, hashes binary")
+    sets = met.mapInArrow(partial(_with_sets, sketched=False), "centre long, salt int, member long, hashes binary")
     ready = sets.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
     return ready.mapInArrow(partial(_confirm, percent=percent), "a long, b long").checkpoint()
 
 
-def _cross_links(docs: DataFrame, classes: DataFrame, stars: DataFrame, label: DataFrame, percent: int) -> DataFrame | None:
+def _cross_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, roots: DataFrame, hot: DataFrame | None, label: DataFrame, percent: int) -> DataFrame | None:
     """Links between components that share a bucket. In each bucket the classes
-    outside the centre's component are dealt into slices, the others too; every
+    outside the root's component are dealt into slices, the others too; every
     slice of the former meets every slice."""
-    named = (
-        stars.join(label.withColumnsRenamed({"component": "c"}), "node", "left")
-        .join(label.select(F.col("node").alias("root"), F.col("component").alias("cr")), "root", "left")
-        .select("bucket", "band", "node", F.coalesce("c", "node").alias("c"), F.coalesce("cr", "root").alias("cr"))
-    ).checkpoint()
-    mixed = named.where("c <> cr").groupBy("bucket").agg(F.count("*").alias("outside"))
-    sizes = named.groupBy("bucket").agg(F.count("*").alias("size")).join(mixed, "bucket")
-    slices = sizes.select("bucket", F.ceil(F.col("outside") / SLICE).cast("int").alias("so"), F.ceil((F.col("size") - F.col("outside")) / SLICE).cast("int").alias("si"))
-    dealt = named.join(slices, "bucket").withColumn("out", F.col("c") != F.col("cr"))
-    own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("so"))).otherwise(F.col("so") + F.pmod(F.xxhash64("node"), F.col("si"))).cast("int")
-    upto = F.when(F.col("out"), F.col("so") + F.col("si")).otherwise(F.col("so"))
+    own = bands.join(label.withColumnsRenamed({"component": "c"}), "node", "left").withColumn("c", F.coalesce("c", "node"))
+    of_root = roots.join(label.select(F.col("node").alias("root"), F.col("component").alias("cr")), "root", "left").select("bucket", F.coalesce("cr", "root").alias("cr"))
+    named = join_spread(own, of_root, "bucket", hot).checkpoint()
+    out = F.col("c") != F.col("cr")
+    sizes = named.groupBy("bucket").agg(*[f(w).alias(f"{k}{s}") for s, w in (("o", out), ("i", ~out)) for k, f in (("k", F.count_if), ("n", lambda w: F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0))))])
+    sizes = sizes.where("ko > 0")
+    many = lambda s: F.ceil(F.greatest(F.col(f"k{s}") / SLICE, F.col(f"n{s}") / SLICE_SHINGLES)).cast("int").alias(f"s{s}")
+    dealt = join_spread(named, sizes.select("bucket", many("o"), many("i")), "bucket", hot)
+    own = F.when(out, F.pmod(F.xxhash64("node"), F.col("so"))).otherwise(F.col("so") + F.pmod(F.xxhash64("node"), F.col("si"))).cast("int")
+    upto = F.when(out, F.col("so") + F.col("si")).otherwise(F.col("so"))
     roles = (
         dealt.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), upto - 1)))
         .select("node", "bucket", "band", F.least("own", "other").alias("g1"), F.greatest("own", "other").alias("g2"), "own", "c")
-        .join(classes.select("node", "set_id"), "node")
+        .join(classes.select("node", "doc", "set_id"), "node")
     ).checkpoint()
     if roles.isEmpty():
         return None
     met = _with_text(docs, roles).select("bucket", "band", "g1", "g2", "own", "node", "c", "set_id", "text")
     kinds = "bucket long, band int, g1 int, g2 int, own int, node long, c long"
-    sets = met.mapInArrow(_block_sets, kinds + ", hashes binary, registers binary")
+    sets = met.mapInArrow(partial(_with_sets, sketched=True), kinds + ", hashes binary, registers binary")
     ready = sets.repartition("bucket", "g1", "g2").sortWithinPartitions("bucket", "g1", "g2")
     return ready.mapInArrow(partial(_confirm_blocks, percent=percent), "a long, b long").checkpoint()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, n_shingles, set_id, component_id, holder (the set_id of the text
+    that stands for the component) for every row of docs (doc_id, text)."""
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_id binary, registers binary").checkpoint()
     classes = (
         sketches.where("n_shingles > 0")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
-        .where("node IS NOT NULL")
-    )
-    classes = classes.checkpoint()
+        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+        .where("doc IS NOT NULL")
+        # a number of its own for each class, made once and kept by the checkpoint
+        .withColumn("node", F.monotonically_increasing_id())
+    ).checkpoint()
     width = BAND * 2
     cuts = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))
     bands = classes.select("node", "n", F.posexplode(cuts).alias("band", "bucket"))
     roots = bands.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("root"), F.count("*").alias("size")).where("size > 1")
-    near = f"100 * least(n, root.n) >= {percent} * greatest(n, root.n)"
-    stars = bands.join(roots.select("bucket", "root"), "bucket").select("bucket", "band", F.col("root.node").alias("root"), "node", F.expr(near).alias("near")).checkpoint()
-    pairs = stars.where("near AND node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).distinct()
-    links = _star_links(docs, classes, pairs, percent)
+    roots = roots.select("bucket", F.col("root.node").alias("root"), F.col("root.n").alias("n_root"), F.col("size").alias("n")).checkpoint()
+    hot = hot_keys(roots, "bucket", SLICE, classes.count() * (REGISTERS // BAND))
+    stars = join_spread(bands, roots.select("bucket", "root", "n_root"), "bucket", hot).checkpoint()
+    near = f"node <> root AND 100 * least(n, n_root) >= {percent} * greatest(n, n_root)"
+    links = _star_links(docs, classes, stars.where(near).select(F.col("root").alias("a"), F.col("node").alias("b")).distinct(), percent)
     label = connected_components(links).checkpoint()
-    more = _cross_links(docs, classes, stars, label, percent)
+    more = _cross_links(docs, classes, stars.select("node", "n", "band", "bucket"), roots.select("bucket", "root"), hot, label, percent)
     if more is not None and not more.isEmpty():
         label = connected_components(links.unionAll(more)).checkpoint()
-    named = classes.select("set_id", "node").join(label, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    named = classes.select("node", "set_id", "doc").join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    named = named.select("set_id", "doc", "c").checkpoint()
+    of = named.groupBy("c").agg(F.count("*").alias("n"), F.min("doc").alias("component_id"))
+    large = hot_keys(of, "c", SLICE, classes.count())
+    placed = join_spread(named, of.drop("n"), "c", large)
+    # of several texts under the component's id, one stands for it
+    held = placed.where("doc = component_id").groupBy("c").agg(F.min("set_id").alias("holder"))
+    placed = join_spread(placed, held, "c", large).select("set_id", "component_id", "holder")
+    copies = sketches.groupBy("set_id").agg(F.count("*").alias("n"))
+    common = hot_keys(copies, "set_id", SLICE, sketches.count())
+    rows = sketches.select("doc_id", "n_shingles", "set_id")
+    lone = copies.join(placed, "set_id", "left").select("set_id", "component_id", "holder")
+    return join_spread(rows, lone, "set_id", common).select(
+        "doc_id", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("holder", "set_id").alias("holder")
+    )
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text)."""
+    kept = F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(False))
+    return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _with_set_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [d for _, d in shingle_sets(*kernels.text_buffers(batch.column("text")))]
+        yield batch.drop_columns(["text"]).append_column("set_id", pa.array(ids, pa.binary()))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs with one document of each group: that with the smallest doc_id.
-
-    Of several rows of that doc_id one stays. Rows without a doc_id can't be
-    told apart by one, and stay."""
-    verdicts = near_duplicates(docs, percent).select("doc_id", "kept").checkpoint()
-    drop = verdicts.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    small = drop.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(drop) if small else drop, F.col("doc_id") == F.col("__id"), "left_anti")
-    again = verdicts.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")).checkpoint()
-    if again.isEmpty():
+    """docs with one row of each group: one with the smallest doc_id and the
+    text that stands for the group.
+
+    Rows of one doc_id and different texts are judged by their own texts. Rows
+    without a doc_id can't be told apart by one, and stay."""
+    found = _grouped(docs.select("doc_id", "text"), percent).where("doc_id IS NOT NULL")
+    stays = (F.col("component_id") == F.col("doc_id")) & (F.col("holder") == F.col("set_id"))
+    verdicts = found.select(F.col("doc_id").alias("id"), "set_id", stays.alias("stays")).checkpoint()
+    ids = verdicts.groupBy("id").agg(F.count("*").alias("n"), F.bool_or("stays").alias("stays")).checkpoint()
+
+    def matching(which: str, how: str) -> DataFrame:
+        some = ids.where(which).select("id").alias("x")
+        some = F.broadcast(some) if ids.where(which).count() <= BROADCAST_IDS else some
+        return docs.alias("d").join(some, F.col("d.doc_id") == F.col("x.id"), how)
+
+    left = matching("n > 1 OR NOT stays", "left_anti")
+    if ids.where("n > 1 AND stays").isEmpty():
         return left
-    return left.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(
-        left.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    )
+    # rows of repeated ids, with their sets, against the verdicts on these
+    again = matching("n > 1 AND stays", "left_semi")
+    keyed = again.select(F.col("doc_id").cast("long").alias("id"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = nullable(keyed.schema["row"].dataType)
+    keyed = keyed.withColumn("row", F.col("row").cast(row))
+    schema = T.StructType().add("id", "long").add("row", row).add("set_id", "binary")
+    own = keyed.mapInArrow(_with_set_id, schema).join(verdicts.where("stays").select("id", "set_id").distinct(), ["id", "set_id"])
+    one = own.dropDuplicates(["id", "set_id"])
+    return left.unionByName(one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
