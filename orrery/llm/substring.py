@@ -7,14 +7,17 @@ their own document, so that each passage is hit through the other's blocks,
 whatever their alignment. Hits are extended to the 35-word windows around
 them, and the windows that come twice are joined to maximal exact repeats.
 
-Texts are dealt into chunks by a hash of the row; a chunk is the unit that
-asks and is answered. Per chunk, a hash goes out once: windows that repeat
-inside a chunk need no answer. Questions are 4 bytes per window besides the
-part that their hash selects; false answers only add candidates, which whole
-64-bit hashes decide (their part comes from other bits, so that a part adds to
-those 64). The chunked texts are shuffled once; all three steps read that
-shuffle. Nothing is held but a chunk's texts or a part's index, both of
-bounded size as chunks and parts grow in number with the data.
+Texts are dealt into chunks by a hash of the row and its partition; a chunk is
+the unit that asks and is answered. Per chunk, a hash goes out once: windows
+that repeat inside a chunk need no answer. Questions are 4 bytes per window
+besides the part that their hash selects; false answers only add candidates.
+Those are decided by 128 bits, two hashes that are computed independently from
+the bytes of the words. The chunked texts are shuffled once; all three steps
+read that shuffle.
+
+What a task holds is a chunk's texts, the distinct blocks of one part's index
+(PART bytes of text make a part), or the candidates of one part's sequel
+(SETTLE bytes). Chunks and parts of both kinds grow in number with the data.
 
 Defined results: null, empty and blank texts have no words; windows are judged
 on the input; repeated rows are documents of their own, and so repeat each
@@ -36,11 +39,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.llm import kernels
-from orrery.llm.session import partitions, prepare
+from orrery.llm.session import nullable, partitions, prepare
 
 WINDOW = 35
-#: Text bytes that a chunk holds about.
-CHUNK = 3 << 20
+#: Bytes of text that a chunk holds about, and whose blocks or candidate
+#: windows one part takes.
+CHUNK, PART, SETTLE = 3 << 20, 256 << 20, 16 << 20
 #: What kinds of message a part gets; an index comes before its questions.
 INDEX, ASK = 0, 1
 
@@ -56,33 +60,46 @@ class Chunk:
     def __init__(self, table: pa.Table):
         self.table = table
         self.data, self.first = kernels.separated(*kernels.text_buffers(table.column("text")))
-        found = []
-        for part in kernels.blocks(np.diff(self.first), 1 << 20):
-            lo, hi = self.first[part.start], self.first[part.stop]
-            starts, _, hashes = kernels.word_hashes(self.data[lo:hi], lower=False)
-            found.append((starts + lo, hashes))
-        starts = np.concatenate([x for x, _ in found]) if found else np.zeros(0, np.int64)
-        self.words = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.uint64)
+        self.words, starts = self._hashed(0)
         #: Index of each text's first word, and one past the last.
         self.cut = np.searchsorted(starts, self.first)
 
+    def _hashed(self, lane: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, starts) of all words."""
+        words, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for part in kernels.blocks(np.diff(self.first), 1 << 20):
+            lo, hi = self.first[part.start], self.first[part.stop]
+            at, _, hashes = kernels.word_hashes(self.data[lo:hi], lower=False, lane=lane)
+            words.append(hashes)
+            starts.append(at + lo)
+        return np.concatenate(words), np.concatenate(starts)
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, hashes) of the windows that lie within one text."""
         n = len(self.words)
         if n < width:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        hashes = np.concatenate([kernels.window_hashes(self.words[a : min(a + (1 << 18) + width - 1, n)], width) for a in range(0, n - width + 1, 1 << 18)])
         inside = np.ones(n - width + 1, bool)
         for edge in self.cut[1:-1]:
             inside[max(0, edge - width + 1) : edge] = False
         at = np.flatnonzero(inside)
-        return at, hashes[at]
+        return at, _runs(self.words, width)[at]
+
+    def second(self, at: np.ndarray, width: int) -> np.ndarray:
+        """The windows at these positions by the other hash of the words."""
+        return _runs(self._hashed(1)[0], width)[at] if len(at) else np.zeros(0, np.uint64)
 
     def offsets(self, at: np.ndarray) -> np.ndarray:
         """Positions counted from the start of their own texts."""
         return at - self.cut[np.searchsorted(self.cut, at, "right") - 1]
 
 
+def _runs(words: np.ndarray, width: int, step: int = 1 << 18) -> np.ndarray:
+    """Hashes of all windows, a stretch at a time."""
+    n = len(words)
+    return np.concatenate([np.zeros(0, np.uint64)] + [kernels.window_hashes(words[a : min(a + step + width - 1, n)], width) for a in range(0, n - width + 1, step)])
+
+
 def _sorted_chunk(table: pa.Table) -> Chunk:
     """Row order within a chunk is made the same in every step."""
     return Chunk(table.sort_by([("doc_id", "ascending"), ("text", "ascending")]))
@@ -93,28 +110,24 @@ def _dealt(hashes: np.ndarray, parts: int) -> np.ndarray:
     return (kernels.mix(hashes ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(33)) % np.uint64(parts)
 
 
-def _alone(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order of first occurrences in the sorted hashes, mask of which come once)."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, bool)
+def _alone(*hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the first occurrence of each distinct value, mask of which come once)."""
+    order = np.argsort(hashes[0], kind="stable") if len(hashes) == 1 else np.lexsort(hashes)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for h in hashes:
+        ranked = h[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
     heads = np.flatnonzero(new)
-    once = np.diff(np.concatenate((heads, [len(ranked)]))) == 1
+    once = np.diff(np.concatenate((heads, [len(order)]))) == 1
     return order[heads], once
 
 
-def _messages(chunk: int, kind: int, hashes: np.ndarray, asks: np.ndarray | None, parts: int, dtype) -> list[tuple]:
-    """One message per part that gets any of the hashes: (part, kind, chunk,
-    hashes, positions). asks: each hash's position, negative: no answer needed."""
-    part = _dealt(hashes, parts)
+def _stretches(part: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(order by part, where each part begins and ends in it)."""
     order = np.argsort(part.astype(np.uint32), kind="stable")
     edges = np.flatnonzero(np.diff(part[order], prepend=np.uint64(1 << 60), append=np.uint64(1 << 60)))
-    short = hashes[order].astype(dtype) if dtype != np.uint64 else hashes[order]
-    where = asks[order] if asks is not None else None
-    return [
-        (int(part[order[a]]), kind, chunk, short[a:b].tobytes(), where[a:b].tobytes() if where is not None else None)
-        for a, b in zip(edges[:-1], edges[1:], strict=True)
-    ]
+    return order, [*zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 MESSAGE = "part int, kind int, chunk int, hashes binary, positions binary"
@@ -156,19 +169,23 @@ def _ask_blocks(key: tuple, table: pa.Table, window: int, parts: int) -> pa.Tabl
     at, hashes = own.windows(width)
     aligned = own.offsets(at) % width == 0
     heads, once = _alone(hashes)
-    rows = _messages(chunk, INDEX, np.unique(hashes[aligned]), None, parts, np.uint32)
+    rows = []
+    blocks = np.unique(hashes[aligned])
+    part = _dealt(blocks, parts)
+    order, each = _stretches(part)
+    for a, b in each:
+        rows.append((int(part[order[a]]), INDEX, chunk, blocks[order[a:b]].astype(np.uint32).tobytes(), None))
     # Of windows that come once here: where, and whether they are a block (odd).
     single = np.sort(heads[once])
     part = _dealt(hashes[single], parts)
-    order = np.argsort(part.astype(np.uint32), kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=np.uint64(1 << 60), append=np.uint64(1 << 60)))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
+    order, each = _stretches(part)
+    for a, b in each:
         pick = single[order[a:b]]
         rows.append((int(part[order[a]]), ASK, chunk, hashes[pick].astype(np.uint32).tobytes(), _delta(at[pick] * 2 + aligned[pick])))
     return _message_table(rows)
 
 
-def _answer(batches, bits: int):
+def _answer(batches):
     """For each part, index first: positions of the questions that are hit.
 
     A question that is a block itself is hit if another chunk has the block."""
@@ -178,7 +195,7 @@ def _answer(batches, bits: int):
         for p, kind, chunk, hashes, positions in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "chunk", "hashes", "positions")), strict=True):
             if p != part:
                 part, index, held = p, None, []
-            values = np.frombuffer(hashes, np.uint32 if bits == 32 else np.uint64)
+            values = np.frombuffer(hashes, np.uint32)
             if kind == INDEX:
                 held.append(values)
                 if len(held) >= 64:  # keep memory to distinct hashes, each twice at most
@@ -212,8 +229,8 @@ def _marked(answers: pa.Table, size: int) -> np.ndarray:
     return out
 
 
-def _candidates(own: Chunk, answers: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows that hold a hit."""
+def _candidates(own: Chunk, answers: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, hashes, other hashes) of the windows that hold a hit."""
     width = block_words(window)
     hit = _marked(answers, len(own.words))
     at, hashes = own.windows(width)
@@ -224,23 +241,23 @@ def _candidates(own: Chunk, answers: pa.Table, window: int) -> tuple[np.ndarray,
     upto = np.concatenate(([0], np.cumsum(hit)))
     at, hashes = own.windows(window)
     held = upto[at + window - width + 1] > upto[at]
-    return at[held], hashes[held]
+    return at[held], hashes[held], own.second(at[held], window)
 
 
 def _ask_windows(key: tuple, texts: pa.Table, answers: pa.Table, window: int, parts: int) -> pa.Table:
-    """Whole hashes of a chunk's candidate windows, each once; those that come
+    """Both hashes of a chunk's candidate windows, each once; those that come
     once here wait for an answer."""
     own, chunk = _sorted_chunk(texts), key[0].as_py()
-    at, hashes = _candidates(own, answers, window)
-    heads, once = _alone(hashes)
-    rows = _messages(chunk, INDEX, hashes[heads[~once]], None, parts, np.uint64)
-    single = np.sort(heads[once])
-    part = _dealt(hashes[single], parts)
-    order = np.argsort(part.astype(np.uint32), kind="stable")
-    edges = np.flatnonzero(np.diff(part[order], prepend=np.uint64(1 << 60), append=np.uint64(1 << 60)))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        pick = single[order[a:b]]
-        rows.append((int(part[order[a]]), ASK, chunk, hashes[pick].tobytes(), _delta(at[pick])))
+    at, hashes, others = _candidates(own, answers, window)
+    heads, once = _alone(hashes, others)
+    rows = []
+    for kind, pick in ((INDEX, heads[~once]), (ASK, np.sort(heads[once]))):
+        part = _dealt(hashes[pick], parts)
+        order, each = _stretches(part)
+        for a, b in each:
+            some = pick[order[a:b]]
+            both = np.stack((hashes[some], others[some])).tobytes()
+            rows.append((int(part[order[a]]), kind, chunk, both, _delta(at[some]) if kind == ASK else None))
     return _message_table(rows)
 
 
@@ -250,30 +267,27 @@ def _settle(batches):
     part, held = None, []
 
     def flush():
-        if not held:
-            return [], []
-        flat = np.concatenate([v for _, v, _ in held])
-        ranked = np.sort(flat)
         chunks, hits = [], []
-        for chunk, values, positions in held:
-            if positions is None:
-                continue
-            many = np.searchsorted(ranked, values, "right") - np.searchsorted(ranked, values, "left") > 1
-            if many.any():
-                chunks.append(chunk)
-                hits.append(_delta(_undelta(positions)[many]))
-        return chunks, hits
-
-    def batch_of(chunks, hits):
+        if held:
+            first, second = (np.concatenate([v[k] for _, v, _ in held]) for k in (0, 1))
+            heads, once = _alone(first, second)
+            many = np.ones(len(first), bool)
+            many[heads[once]] = False
+            begin = 0
+            for chunk, values, positions in held:
+                own, begin = many[begin : begin + values.shape[1]], begin + values.shape[1]
+                if positions is not None and own.any():
+                    chunks.append(chunk)
+                    hits.append(_delta(_undelta(positions)[own]))
         return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(hits, pa.binary())], names=["chunk", "hits"])
 
     for batch in batches:
         for p, chunk, hashes, positions in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "hashes", "positions")), strict=True):
             if p != part:
-                yield batch_of(*flush())
+                yield flush()
                 part, held = p, []
-            held.append((chunk, np.frombuffer(hashes, np.uint64), positions))
-    yield batch_of(*flush())
+            held.append((chunk, np.frombuffer(hashes, np.uint64).reshape(2, -1), positions))
+    yield flush()
 
 
 def _covered(at: np.ndarray, size: int, window: int) -> np.ndarray:
@@ -289,8 +303,8 @@ def _remove(key: tuple, texts: pa.Table, hits: pa.Table, window: int, with_text:
     own = _sorted_chunk(texts)
     blocks = hits.filter(pc.equal(hits.column("step"), 0))
     settled = hits.filter(pc.equal(hits.column("step"), 1))
-    at, hashes = _candidates(own, blocks, window)
-    heads, once = _alone(hashes)
+    at, hashes, others = _candidates(own, blocks, window)
+    heads, once = _alone(hashes, others)
     local = np.ones(len(at), bool)
     local[heads[once]] = False
     twice = _marked(settled, len(own.words))
@@ -327,22 +341,23 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     run of words, by turns), and if asked for the row itself as `__row`."""
     spark = docs.sparkSession
     prepare(spark)
-    parts = partitions(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // CHUNK))
-    rest = T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in docs.schema if f.name != "text"])
+    chunks, parts, ends = (max(1, -(-total // size)) for size in (CHUNK, PART, SETTLE))
+    parts = max(parts, partitions(spark))  # enough for all cores
+    rest = T.StructType([T.StructField(f.name, nullable(f.dataType)) for f in docs.schema if f.name != "text"])
     row = F.struct(*[F.col(f"`{f.name}`") for f in rest]).cast(rest) if with_row else None
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
-        F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int").alias("chunk"),
+        # copies of one row are dealt by the partition that they lie in
+        F.pmod(F.xxhash64("doc_id", F.length("text"), F.spark_partition_id()), F.lit(chunks)).cast("int").alias("chunk"),
         *([row.alias("__row")] if with_row else []),
     )
     grouped = dealt.groupBy("chunk")
     route = lambda m: m.repartition("part").sortWithinPartitions("part", "kind")
     asked = grouped.applyInArrow(_by(_ask_blocks, window=window, parts=parts), MESSAGE)
-    hits = route(asked).mapInArrow(partial(_answer, bits=32), "chunk int, hits binary")
-    whole = grouped.cogroup(hits.groupBy("chunk")).applyInArrow(_by2(_ask_windows, window=window, parts=parts), MESSAGE)
+    hits = route(asked).mapInArrow(_answer, "chunk int, hits binary")
+    whole = grouped.cogroup(hits.groupBy("chunk")).applyInArrow(_by2(_ask_windows, window=window, parts=max(ends, parts)), MESSAGE)
     settled = route(whole).mapInArrow(_settle, "chunk int, hits binary")
     both = hits.withColumn("step", F.lit(0)).unionByName(settled.withColumn("step", F.lit(1)))
     made = T.StructType().add("doc_id", "long")
@@ -351,15 +366,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     return grouped.cogroup(both.groupBy("chunk")).applyInArrow(_by2(_remove, window=window, with_text=with_text, carry=with_row), made)
 
 
-def _nullable(kind: T.DataType) -> T.DataType:
-    """The type with nulls allowed at every depth, as Arrow tables have them."""
-    if isinstance(kind, T.StructType):
-        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in kind])
-    if isinstance(kind, T.ArrayType):
-        return T.ArrayType(_nullable(kind.elementType))
-    return T.MapType(kind.keyType, _nullable(kind.valueType)) if isinstance(kind, T.MapType) else kind
-
-
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut from their texts (and n_chars set anew,
     if there). A null text becomes an empty one."""
