@@ -8,13 +8,16 @@ fullest windows of one on the emptiest of the other, until one is left. k
 starts at the least number that could hold the tokens, and rises whenever a
 window exceeds its capacity.
 
-Only lengths and checksums are shuffled unless ids are asked for. Groups hold
-about 1500 documents whatever the size of the corpus.
+Each task numbers its documents off into portions; portions of one number from
+TOGETHER neighbouring tasks are a group. So groups are bounded whatever the
+size of the corpus, and depend on no value that many rows could share. Only
+lengths and checksums are shuffled unless ids are asked for. A task encodes
+each distinct word once, and knows words by their bytes.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each; very long texts become many whole windows; null doc_ids are
 packed like others; other columns are ignored; an empty table gives an empty
-result.
+result. Which documents share a sequence depends on how docs are partitioned.
 """
 
 from __future__ import annotations
@@ -23,18 +26,19 @@ import heapq
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.kernels import blocks, separated, span_hashes, text_buffers, word_spans
-from orrery.llm.session import prepare, rows_per
+from orrery.llm.kernels import blocks, same_spans, separated, span_hashes, text_buffers, word_spans
+from orrery.llm.session import prepare
 
 CAPACITY, PIECE, END_ID = 2048, 512, 1
-GROUP = 1500
+#: Documents and tokens that fill a portion; tasks whose portions form a group.
+PORTION, PORTION_TOKENS, TOGETHER = 256, 1 << 19, 8
 #: Bytes of text tokenised at once; words that a worker remembers.
 CHUNK, REMEMBER = 1 << 20, 1_000_000
 
@@ -54,12 +58,20 @@ def _split_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tup
     return np.concatenate((starts, stop[cut]))[order], np.concatenate((np.where(cut, stop, ends), ends[cut]))[order]
 
 
+class _Numbers(dict):
+    """Numbers words by when they were first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 class WordTokenizer:
     """Token ids of texts, encoding each distinct word once.
 
     For lower-casing tokenizers whose pre-tokens never cross white space: a
-    text's ids are then those of its words in order. Words are known by 64-bit
-    hashes and remembered up to a bound."""
+    text's ids are then those of its words in order. Words are remembered up to
+    a bound."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -68,24 +80,20 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        #: Known hashes in order, the word of each, and words' ids end to end.
-        self.known = np.zeros(0, np.uint64)
-        self.word = np.zeros(0, np.int64)
+        #: Each word's number; words' ids end to end, by number.
+        self.number = _Numbers()
         self.ids = np.zeros(0, np.uint32)
         self.at = np.zeros(1, np.int64)
 
-    def _learn(self, fresh: list[bytes], hashes: np.ndarray) -> None:
+    def _learn(self, fresh: list[bytes]) -> None:
         texts = [w.decode() for w in fresh]
         done = self.model.encode(" ".join(texts), add_special_tokens=False)
         ids = np.array(done.ids, np.uint32)
         begin = np.array([o[0] for o in done.offsets], np.int64)
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
         count = np.diff(np.searchsorted(begin, starts))
-        number = len(self.at) - 1 + np.arange(len(fresh))
         self.ids = np.concatenate((self.ids, ids))
         self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(count)))
-        place = np.searchsorted(self.known, hashes)
-        self.known, self.word = np.insert(self.known, place, hashes), np.insert(self.word, place, number)
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each begins) for the texts of an
@@ -93,20 +101,22 @@ class WordTokenizer:
         data, first = separated(raw, at)
         starts, ends = word_spans(data)
         whole = data.tobytes()
-        if lower := b"<|" not in whole:  # special tokens are told apart by case
+        if b"<|" not in whole:  # special tokens are told apart by case
             whole = whole.lower()
             data = np.frombuffer(whole, np.uint8)
             starts, ends = _split_points(data, starts, ends)
-        hashes, where, inverse = np.unique(span_hashes(data, starts, ends, lower), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBER:
+        if len(self.number) > REMEMBER:
             self._forget()
-        place = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
-        new = self.known[place] != hashes if len(self.known) else np.ones(len(hashes), bool)
-        if new.any():
-            pick = where[new]
-            self._learn([whole[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)], hashes[new])
-            place = np.searchsorted(self.known, hashes)
-        words = self.word[place][inverse] if len(hashes) else np.zeros(0, np.int64)
+        # words that look alike by hash are looked up once, if they are the same
+        _, where, alike = np.unique(span_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
+        odd = np.flatnonzero(~same_spans(data, starts, ends, where[alike]))
+        if len(odd):
+            alike[odd], where = len(where) + np.arange(len(odd)), np.concatenate((where, odd))
+        known = len(self.number)
+        each = (whole[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True))
+        words = np.fromiter(map(self.number.__getitem__, each), np.int64, len(where))[alike]
+        if fresh := len(self.number) - known:
+            self._learn([*islice(reversed(self.number), fresh)][::-1])
         begin, size = self.at[words], self.at[words + 1] - self.at[words]
         stop = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.arange(stop[-1]) + np.repeat(begin - stop[:-1], size)]
@@ -119,24 +129,6 @@ def cuts(n: int, capacity: int, piece: int) -> list[int]:
     return [*range(0, whole, capacity), *range(whole, n, piece), n] if n > whole else [*range(0, whole, capacity), n]
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(path)
-    for batch in batches:
-        docs = batch.column("doc_id").to_pylist()
-        raw, at = text_buffers(batch.column("text"))
-        for part in blocks(np.diff(at), CHUNK):
-            rows: list[tuple] = []
-            flat, stop = tokenizer.encode(raw, at[part.start : part.stop + 1])
-            for i, doc in enumerate(docs[part]):
-                ids = np.append(flat[stop[i] : stop[i + 1]], np.uint32(END_ID)).astype("<u4")
-                edge = cuts(len(ids), capacity, piece)
-                for a, b in zip(edge[:-1], edge[1:], strict=True):
-                    own = ids[a:b].tobytes()
-                    rows.append((doc, a, b - a, zlib.crc32(own), len(ids), own if with_ids else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"])
-
-
 def differencing(lengths: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(window of each item, sums) of the k-way differencing method.
 
@@ -189,13 +181,48 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     return out
 
 
-def _pack_group(key, pdf: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-    window = pack(pdf["length"].to_numpy(), capacity)
-    pdf["sequence_id"] = (int(key[0]) << 32) + window
-    pdf = pdf.sort_values(["sequence_id", "doc_id", "start"], kind="stable")
-    pdf["offset"] = pdf.groupby("sequence_id")["length"].cumsum() - pdf["length"]
-    return pdf.drop(columns="grp")
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+_NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "grp")
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The pieces of every document with the group that they go to."""
+    from pyspark import TaskContext
+
+    tokenizer = WordTokenizer(path)
+    group = TaskContext.get().partitionId() // TOGETHER << 24
+    held = tokens = 0
+    for batch in batches:
+        docs = batch.column("doc_id").to_pylist()
+        raw, at = text_buffers(batch.column("text"))
+        for part in blocks(np.diff(at), CHUNK):
+            rows: list[tuple] = []
+            flat, stop = tokenizer.encode(raw, at[part.start : part.stop + 1])
+            for i, doc in enumerate(docs[part]):
+                ids = np.append(flat[stop[i] : stop[i + 1]], np.uint32(END_ID)).astype("<u4")
+                edge = cuts(len(ids), capacity, piece)
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    own = ids[a:b].tobytes()
+                    rows.append((doc, a, b - a, zlib.crc32(own), len(ids), own if with_ids else None, group))
+                held, tokens = held + 1, tokens + len(ids)
+                if held >= PORTION or tokens >= PORTION_TOKENS:
+                    group, held, tokens = group + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
+def _pack_group(key: tuple, table: pa.Table, capacity: int) -> pa.Table:
+    """A group's pieces in sequences."""
+    table = table.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+    lengths = table.column("length").to_numpy()
+    window = pack(lengths, capacity)
+    order = np.argsort(window, kind="stable")
+    window, lengths = window[order], lengths[order]
+    before = np.cumsum(lengths) - lengths
+    new = np.diff(window, prepend=-1) > 0
+    offset = before - before[new][np.cumsum(new) - 1]
+    own = table.take(pa.array(order)).drop_columns(["grp"])
+    return own.append_column("sequence_id", pa.array((key[0].as_py() << 20) + window)).append_column("offset", pa.array(offset))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, piece: int = PIECE, with_ids: bool = False) -> DataFrame:
@@ -204,12 +231,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, pi
     of a tokenizer file that every worker can read."""
     prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    groups = rows_per(docs, GROUP)
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-    cut = own.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, piece=piece, with_ids=with_ids), schema)
-    grouped = cut.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(groups)).cast("int")).groupBy("grp")
+    cut = own.mapInArrow(partial(_pieces, path=tokenizer, capacity=capacity, piece=piece, with_ids=with_ids), PIECES + ", grp long")
 
-    def run(key, pdf):
-        return _pack_group(key, pdf, capacity)
+    def run(key, table):
+        return _pack_group(key, table, capacity)
 
-    return grouped.applyInPandas(run, schema + ", sequence_id long, offset long")
+    return cut.groupBy("grp").applyInArrow(run, PIECES + ", sequence_id long, offset long")
