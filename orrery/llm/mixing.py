@@ -4,21 +4,24 @@ The words of a source, its documents laid end to end in a pseudorandom order,
 are cut into blocks of 32 words. Sources share the words of the whole mix by
 weight; a target stops at 3 times its source, and what it can't take is shared
 out again. Each output shard draws its source counts from a multinomial that
-is conditioned on the sources' quotas over all shards (drawn shard by shard
-without replacement), so that the whole mix meets its targets to a block.
+is conditioned on the sources' quotas over all shards: a source's quota is
+dealt to the shards by a multinomial of its own, with a seed of its own, so
+that counts given a shard's length are multinomial, the whole mix meets its
+targets to a block, and shards differ in length by about the square root of it.
 Slots of a source number on through the shards; a keyed permutation of the
 source's block indices, another for each pass over it, maps slots to blocks,
 and blocks are joined by index. A target of r times a source uses each block
 floor(r) or ceil(r) times, hence at most 3.
 
-Long or hot sources are laid out in buckets of their documents, with two-level
-prefix sums. Only one row per source reaches the driver, and shards are 2000
-at most.
+Long or hot sources are laid out in a fixed number of buckets of their
+documents, with two-level prefix sums. Sources are rows of a table throughout:
+ranks come from a range sort and prefix sums, targets from a few aggregations,
+draws from tasks. The driver gets sums by weight, and nothing per source.
 
 Defined results: null, empty and blank texts have size 0 and take nothing; the
 null source is one source, ordered last; repeated rows are documents of their
 own; an empty table gives an empty result; other columns are ignored. The
-draw depends on the rows and the seed only.
+draw depends on the rows and the seed only, not on the session's settings.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,19 +41,18 @@ from orrery.llm.session import partitions, prepare
 from orrery.llm.text import word_count, words
 
 BLOCK, CAP = 32, 3
+#: Shards at most, and slots that a shard holds about, at least.
 SHARDS, LEAST_SLOTS = 2000, 4096
+#: Buckets that a source's documents are dealt to.
+BUCKETS = 4096
 #: Slots that one row of a task's input stands for, at most.
 RUN = 1 << 16
 
 
-def weights(n: int) -> list[float]:
-    """1, 2, 3, repeating, by the order of the sources."""
-    return [1.0 + k % 3 for k in range(n)]
-
-
 def targets(sizes: list[int], weight: list[float], cap: float = CAP) -> list[float]:
-    """Words for each source: shares of all words by weight, none above cap
-    times its size, the excess shared again by weight among the others."""
+    """Words for each source, of lists: shares of all words by weight, none
+    above cap times its size, the excess shared again by weight among the
+    others. The plain form of levels()."""
     out = [0.0] * len(sizes)
     free = {k for k, s in enumerate(sizes) if s > 0}
     left = float(sum(sizes))
@@ -64,6 +66,49 @@ def targets(sizes: list[int], weight: list[float], cap: float = CAP) -> list[flo
     return out
 
 
+def weight_of(number: Column) -> Column:
+    """1, 2, 3, repeating, by the number of the source."""
+    return (1 + F.pmod(number, F.lit(3))).cast("double")
+
+
+def levels(sources: DataFrame, cap: float = CAP) -> float:
+    """Words for each unit of weight: sources (source_size, weight) share all
+    words by weight, none above cap times its size, the excess shared again by
+    weight among the others. Infinite if all are at their caps. A round is one
+    aggregation, and there are as many as the sharing out takes."""
+    total = sources.agg(F.sum("source_size").cast("double")).first()[0] or 0.0
+    # a source is at its cap from this level on
+    limit = cap * F.col("source_size") / F.col("weight")
+    level = 0.0
+    while True:
+        over = limit < level
+        held = sources.agg(
+            F.sum(F.when(over, cap * F.col("source_size")).otherwise(0.0)).alias("capped"),
+            F.sum(F.when(over | (F.col("source_size") == 0), 0.0).otherwise(F.col("weight"))).alias("free"),
+        ).first()
+        if not held["free"]:
+            return math.inf
+        found = (total - held["capped"]) / held["free"]
+        if found <= level:
+            return level
+        level = found
+
+
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, ...) with source_no: their order by code point from 0,
+    null last. A range sort, and prefix sums of its partitions' counts."""
+    null_last = [F.col("source").isNull(), F.col("source")]
+    placed = sources.repartitionByRange(*null_last).sortWithinPartitions(*null_last).withColumn("at", F.monotonically_increasing_id()).checkpoint()
+    part = F.shiftright("at", 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
+    starts, total = [], 0
+    for row in sorted(counts):
+        starts.append((row["part"], total))
+        total += row["n"]
+    known = sources.sparkSession.createDataFrame(starts, "part long, before long")
+    return placed.join(F.broadcast(known), part == F.col("part")).withColumn("source_no", F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).drop("at", "part", "before")
+
+
 def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     """A keyed permutation of 0..n-1: a Feistel network over the next power of
     four, walked on until it falls below n."""
@@ -83,6 +128,22 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def _draws(batches: Iterator[pa.RecordBatch], seed: int, shards: int) -> Iterator[pa.RecordBatch]:
+    """Runs of slots: each source's quota dealt to the shards, in order."""
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+    for batch in batches:
+        for source, quota, n in zip(*(batch.column(c).to_pylist() for c in ("source_no", "quota", "blocks")), strict=True):
+            counts = np.random.default_rng([seed, source]).multinomial(quota, np.full(shards, 1 / shards))
+            first = np.cumsum(counts) - counts
+            shard = np.flatnonzero(counts)
+            runs = -(-counts[shard] // RUN)
+            shard = np.repeat(shard, runs)
+            step = (np.arange(len(shard)) - np.repeat(np.cumsum(runs) - runs, runs)) * RUN
+            size = np.minimum(RUN, counts[shard] - step)
+            columns = (shard, np.full(len(shard), source), first[shard] + step, size, np.full(len(shard), n))
+            yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "source_no", "first", "count", "blocks"])
+
+
 def _slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, source, first, count, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -91,7 +152,7 @@ def _slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
             for e in np.unique(slot // n):
                 own = slot // n == e
                 index[own] = permute(slot[own] % n, n, seed + 7919 * source + 104729 * int(e))
-            fixed = [pa.array(np.full(count, v), t) for v, t in ((shard, pa.int32()), (source, pa.int32()))]
+            fixed = [pa.array(np.full(count, v), t) for v, t in ((shard, pa.int32()), (source, pa.int64()))]
             yield pa.RecordBatch.from_arrays(
                 [*fixed, pa.array(slot), pa.array((slot // n).astype(np.int32)), pa.array(index)], names=["shard", "source_no", "slot", "pass", "block"]
             )
@@ -106,71 +167,43 @@ class Mix:
         self._plan()
 
     def _sized(self, carry: tuple[str, ...]) -> DataFrame:
-        return self.docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", "text").alias("h"), *carry)
+        # the source as a key that is never null, and a bucket of its documents
+        key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("sk")
+        h = F.xxhash64("doc_id", "text")
+        bucket = F.pmod(h, F.lit(BUCKETS)).cast("int").alias("bucket")
+        return self.docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key, bucket, h.alias("h"), *carry)
 
     def _plan(self) -> None:
-        spark = self.docs.sparkSession
-        self.buckets = partitions(spark)
-        bucket = F.pmod(F.col("h"), F.lit(self.buckets)).cast("int")
-        sized = self._sized(())
-        sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("words")).checkpoint()
-        rows = {r[0]: r[1] for r in sums.groupBy("source").agg(F.sum("words")).collect()}
-        names = sorted((s for s in rows if s is not None)) + [None] * (None in rows)
-        sizes = [rows[s] for s in names]
-        target = targets(sizes, weights(len(names)), self.cap)
-        blocks = [math.ceil(s / self.block) for s in sizes]
-        self.quota = [round(t * b / s) if s else 0 for t, b, s in zip(target, blocks, sizes, strict=True)]
-        schema = "source string, source_no int, source_size long, target double, blocks long"
-        self.sources = spark.createDataFrame([(s, k, sizes[k], target[k], blocks[k]) for k, s in enumerate(names)], schema)
-        before = F.coalesce(F.sum("words").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        self.starts = sums.withColumn("base", before).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base").checkpoint()
-        self.blocks = blocks
+        sums = self._sized(()).groupBy("sk", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")).checkpoint()
+        sources = ranked(sums.groupBy("sk").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
+        sources = sources.withColumn("weight", weight_of(F.col("source_no"))).checkpoint()
+        level = levels(sources, self.cap)
+        most = (self.cap * F.col("source_size")).cast("double")
+        share = F.least(F.lit(level) * F.col("weight"), most) if math.isfinite(level) else most
+        target = F.when(F.col("source_size") > 0, share).otherwise(0.0)
+        blocks = F.ceil(F.col("source_size") / self.block)
+        quota = F.when(F.col("source_size") > 0, F.round(target * blocks / F.col("source_size"))).otherwise(0).cast("long")
+        self.sources = sources.select("sk", "source_no", "source_size", target.alias("target"), blocks.alias("blocks"), quota.alias("quota")).checkpoint()
+        self.total = self.sources.agg(F.sum("quota")).first()[0] or 0
+        before = F.coalesce(F.sum("words").over(W.partitionBy("sk").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        known = self.sources.drop("blocks", "quota")
+        self.starts = sums.select("sk", "bucket", before.alias("base")).join(known, "sk").checkpoint()
 
     def layout(self, carry: tuple[str, ...] = ()) -> DataFrame:
         """Each row with source_no, source_size, target and start: the number of
         its source's words before it."""
-        bucket = F.pmod(F.col("h"), F.lit(self.buckets)).cast("int")
-        order = W.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-        run = self._sized(carry).withColumn("bucket", bucket).withColumn("upto", F.sum("size").over(order))
-        placed = run.join(self.starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        placed = placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("s", "b", "base", "upto", "bucket", "h")
-        known = self.sources.withColumnRenamed("source", "s").drop("blocks")
-        return placed.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+        order = W.partitionBy("sk", "bucket").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+        placed = self._sized(carry).withColumn("upto", F.sum("size").over(order)).join(self.starts, ["sk", "bucket"])
+        return placed.withColumn("start", F.col("base") + F.col("upto") - F.col("size")).drop("sk", "bucket", "base", "upto", "h")
 
     def slots(self) -> DataFrame:
         """shard, source_no, slot, pass, block: every draw of the mix."""
-        spark = self.docs.sparkSession
-        left = np.array(self.quota or [0], np.int64)
-        total, rng = int(left.sum()), np.random.default_rng(self.seed)
-        each = max(LEAST_SLOTS, math.ceil(total / SHARDS))
-        rows, used = [], np.zeros_like(left)
-        for shard in range(math.ceil(total / each)):
-            drawn = self._draw(rng, left, each)
-            rows += [(shard, k, int(used[k]), int(c), self.blocks[k]) for k, c in enumerate(drawn) if c]
-            left, used = left - drawn, used + drawn
-        runs = spark.createDataFrame(rows, "shard int, source_no int, first long, count long, blocks long")
-        parted = runs.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1, F.lit(RUN))).alias("at")).select(
-            "shard", "source_no", (F.col("first") + F.col("at")).alias("first"), F.least(F.lit(RUN), F.col("count") - F.col("at")).alias("count"), "blocks"
+        shards = min(SHARDS, max(1, math.ceil(self.total / LEAST_SLOTS)))
+        runs = self.sources.where("quota > 0").select("source_no", "quota", "blocks").mapInArrow(
+            partial(_draws, seed=self.seed, shards=shards), "shard int, source_no long, first long, count long, blocks long"
         )
-        return parted.repartition(self.buckets, "source_no", "first").mapInArrow(
-            partial(_slots, seed=self.seed), "shard int, source_no int, slot long, pass int, block long"
-        )
-
-    @classmethod
-    def _draw(cls, rng: np.random.Generator, left: np.ndarray, each: int) -> np.ndarray:
-        """How many of a shard's blocks each source gives; the generator takes
-        counts whose sum is under 10**9."""
-        total = int(left.sum())
-        return rng.multivariate_hypergeometric(left, min(each, total), method="marginals") if total < 10**9 else cls._large(rng, left, each)
-
-    @staticmethod
-    def _large(rng: np.random.Generator, left: np.ndarray, each: int) -> np.ndarray:
-        """The same draw where counts are beyond what the generator takes: a
-        multinomial, corrected to what is left."""
-        drawn = np.minimum(rng.multinomial(min(each, int(left.sum())), left / left.sum()), left)
-        for k in np.argsort(drawn - left):
-            drawn[k] += min(int(left[k] - drawn[k]), min(each, int(left.sum())) - int(drawn.sum()))
-        return drawn
+        dealt = runs.repartition(partitions(self.docs.sparkSession), "source_no", "first")
+        return dealt.mapInArrow(partial(_slots, seed=self.seed), "shard int, source_no long, slot long, pass int, block long")
 
     def pieces(self, layout: DataFrame) -> DataFrame:
         """source_no, block, start, skip, words: the stretch of words that each
