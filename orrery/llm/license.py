@@ -35,6 +35,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.text import free_prefix
+
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
 
@@ -233,13 +235,15 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
     number: 0 the whole text, then lines; n_units for a passage)."""
     made = ("n_units", "n_candidates", "n_matches", "license", "dice", "matched_unit")
     step = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
+    prefix = free_prefix(step.columns)
+    u, b, c, m, x, p = (prefix + name for name in ("u", "b", "c", "m", "x", "p"))
     known = prepared(threshold)
     longer = known + prepared(threshold, NOTICES)
     lines = F.split(F.col(text), "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.col(text)), lines)).when(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) > 0, lines)
-    step = step.withColumn("__u", F.coalesce(units, F.array().cast("array<string>")))
-    step = step.withColumn("__b", F.transform(F.transform("__u", _words), _bigrams))
-    sized = F.transform("__b", lambda b, i: F.struct(i.alias("i"), F.size(b).alias("n"), b.alias("b")))
+    step = step.withColumn(u, F.coalesce(units, F.array().cast("array<string>")))
+    step = step.withColumn(b, F.transform(F.transform(u, _words), _bigrams))
+    sized = F.transform(b, lambda g, i: F.struct(i.alias("i"), F.size(g).alias("n"), g.alias("b")))
 
     def admitted(x: Column) -> Column:
         found = F.lit(False)
@@ -247,7 +251,7 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
             found = found | x["n"].between(lo, hi)
         return found
 
-    step = step.withColumn("__c", F.filter(sized, admitted))
+    step = step.withColumn(c, F.filter(sized, admitted))
 
     def best(x: Column) -> Column:
         scores = []
@@ -257,18 +261,18 @@ def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> D
             scores.append(F.struct(d.alias("d"), F.lit(-k).alias("t"), (-x["i"]).alias("i")))
         return F.array_max(F.array(*scores))
 
-    step = step.withColumn("__m", F.filter(F.transform("__c", best), lambda x: x["d"] >= threshold))
-    step = step.withColumn("__x", F.array_max("__m"))
-    step = step.withColumn("__p", _passage(F.col(text), F.get("__b", F.lit(0)), longer, threshold))
-    step = step.withColumn("__p", F.when(F.col("__x").isNull() | (F.col("__p")["d"] > F.col("__x")["d"]), F.col("__p")))
+    step = step.withColumn(m, F.filter(F.transform(c, best), lambda x: x["d"] >= threshold))
+    step = step.withColumn(x, F.array_max(m))
+    step = step.withColumn(p, _passage(F.col(text), F.get(b, F.lit(0)), longer, threshold))
+    step = step.withColumn(p, F.when(F.col(x).isNull() | (F.col(p)["d"] > F.col(x)["d"]), F.col(p)))
     names = F.array(*[F.lit(k[0]) for k in longer])
-    passage = F.col("__p").isNotNull()
+    passage = F.col(p).isNotNull()
     return (
-        step.withColumn("n_units", F.size("__u").cast("long"))
-        .withColumn("n_candidates", F.size("__c").cast("long"))
-        .withColumn("n_matches", (F.size("__m") + passage.cast("int")).cast("long"))
-        .withColumn("license", F.get(names, -F.when(passage, F.col("__p")["t"]).otherwise(F.col("__x")["t"])))
-        .withColumn("dice", F.when(passage, F.col("__p")["d"]).otherwise(F.col("__x")["d"]))
-        .withColumn("matched_unit", F.when(passage, F.size("__u")).otherwise(-F.col("__x")["i"]).cast("long"))
-        .drop("__u", "__b", "__c", "__m", "__x", "__p")
+        step.withColumn("n_units", F.size(u).cast("long"))
+        .withColumn("n_candidates", F.size(c).cast("long"))
+        .withColumn("n_matches", (F.size(m) + passage.cast("int")).cast("long"))
+        .withColumn("license", F.get(names, -F.when(passage, F.col(p)["t"]).otherwise(F.col(x)["t"])))
+        .withColumn("dice", F.when(passage, F.col(p)["d"]).otherwise(F.col(x)["d"]))
+        .withColumn("matched_unit", F.when(passage, F.size(u)).otherwise(-F.col(x)["i"]).cast("long"))
+        .drop(u, b, c, m, x, p)
     )

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.text import words
+from orrery.llm.text import free_prefix, words
 
 #: Words in a window for repetition.
 WINDOW = 5
@@ -59,40 +59,42 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the measurements and fail_bits (long)."""
     own = (*MEASURES, "fail_bits")
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in own])
-    step = kept.withColumn("__w", words(F.col(text)))
-    step = step.withColumn("__lines", F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
+    prefix = free_prefix(kept.columns)
+    w, lines, h, s, p = (prefix + name for name in ("w", "lines", "h", "s", "p"))
+    step = kept.withColumn(w, words(F.col(text)))
+    step = step.withColumn(lines, F.filter(F.split(F.col(text), "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))) > 0))
     step = step.withColumn(
-        "__h",
+        h,
         F.expr(f"""
-        CASE WHEN size(__w) > {WINDOW} THEN
-          transform(sequence(0, size(__w) - {WINDOW}), i -> xxhash64({', '.join(f'__w[i + {k}]' for k in range(WINDOW))}))
+        CASE WHEN size({w}) > {WINDOW} THEN
+          transform(sequence(0, size({w}) - {WINDOW}), i -> xxhash64({', '.join(f'{w}[i + {k}]' for k in range(WINDOW))}))
         ELSE CAST(array() AS array<bigint>) END"""),
     )
     # (hash, position), sorted, only where some hash comes twice
     step = step.withColumn(
-        "__s",
-        F.expr("CASE WHEN size(__h) > size(array_distinct(__h)) THEN array_sort(transform(__h, (h, i) -> struct(h, i))) END"),
+        s,
+        F.expr(f"CASE WHEN size({h}) > size(array_distinct({h})) THEN array_sort(transform({h}, (h, i) -> struct(h, i))) END"),
     )
     # positions of windows that have an equal neighbour, in text order
     step = step.withColumn(
-        "__p",
-        F.expr("""
+        p,
+        F.expr(f"""
         array_sort(filter(
-          transform(__s, (x, k) -> CASE WHEN x.h = get(__s, k - 1).h OR x.h = get(__s, k + 1).h THEN x.i ELSE -1 END),
+          transform({s}, (x, k) -> CASE WHEN x.h = get({s}, k - 1).h OR x.h = get({s}, k + 1).h THEN x.i ELSE -1 END),
           i -> i >= 0))"""),
     )
     # each covers WINDOW words, less what the next one covers again
     step = step.withColumn(
         "n_repeat_words",
-        F.expr(f"coalesce(aggregate(transform(__p, (p, k) -> least({WINDOW}, coalesce(get(__p, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x), 0L)"),
+        F.expr(f"coalesce(aggregate(transform({p}, (p, k) -> least({WINDOW}, coalesce(get({p}, k + 1) - p, {WINDOW}))), 0L, (a, x) -> a + x), 0L)"),
     )
     step = (
-        step.withColumn("n_words", F.size("__w").cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("__w", "")).cast("long"))
+        step.withColumn("n_words", F.size(w).cast("long"))
+        .withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
         .withColumn("n_symbols", F.coalesce(F.regexp_count(F.col(text), F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("long"))
-        .withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long"))
-        .withColumn("n_dup_lines", F.when(F.col("n_lines") > 0, F.size("__lines") - F.size(F.array_distinct("__lines"))).otherwise(0).cast("long"))
-        .drop("__w", "__lines", "__h", "__s", "__p")
+        .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
+        .withColumn("n_dup_lines", F.when(F.col("n_lines") > 0, F.size(lines) - F.size(F.array_distinct(lines))).otherwise(0).cast("long"))
+        .drop(w, lines, h, s, p)
     )
     bits = " + ".join(f"CASE WHEN {r.fails} THEN {1 << r.bit}L ELSE 0L END" for r in RULES)
     # The partition's number keeps a filter on the bits from being pushed below:
@@ -106,8 +108,10 @@ def verdict(policy: str = "v2") -> Column:
 
 
 def apply_policy(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns only."""
-    return ledger(docs, text).where(verdict(policy)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that pass, with their own columns and values only."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    entries = ledger(docs.select(F.col(f"`{text}`").alias("text"), whole.alias("row")))
+    return entries.where(verdict(policy)).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def ablations(entries: DataFrame, policy: str = "v2") -> DataFrame:
