@@ -195,7 +195,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to archives and read back from byte ranges."""
     folder = warc.shared_folder(spark)
     files = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    found = warc.read_archives(spark, files, folder)
+    found = warc.read_archives(spark, files, folder).checkpoint()
+    warc.remove_folder(folder)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -3,7 +3,8 @@
 Writer: every task writes its rows as one archive, a gzip member for each
 record, under a name of its own partition, so that a repeated task replaces
 its file; a file appears whole, by rename. Records whose payload another
-response holds are revisits without a payload.
+response holds are revisits without a payload. Payloads stay where they are:
+the digests that come again are broadcast, if few; of more, the hot ones are.
 
 Reader: files are cut into byte ranges. A task scans its range for the gzip
 magic, validates a candidate by decoding its start to a WARC header, and owns
@@ -33,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.session import prepare
+from orrery.llm.session import HEAVY, checkpoint_folder, hot_keys, join_spread, prepare
 
 #: Payloads under this size are always responses.
 LEAST_REVISIT = 100
+#: Digests that a broadcast may hold.
+BROADCAST_DIGESTS = 200_000
 #: Bytes that one reading task takes charge of; bytes read at a time.
 SPLIT, BUFFER = 8 << 20, 1 << 18
 MAGIC = b"\x1f\x8b\x08"
@@ -111,11 +114,22 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     fs.create_dir(root, recursive=True)
     assert urlparse(folder).scheme or os.path.isabs(folder), "the folder must be absolute"
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("digest", F.sha2("html", 256)).withColumn("long_enough", F.octet_length("html") >= LEAST_REVISIT)
-    first = own.where("long_enough").groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    marked = own.join(first.select(F.col("digest").alias("d"), "first"), F.col("long_enough") & (F.col("digest") == F.col("d")), "left")
-    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).cast("long")
-    ready = marked.select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    own = own.withColumn("digest", F.sha2("html", 256))
+    long = F.octet_length("html") >= LEAST_REVISIT
+    # (digest, page that has the response) of payloads that come again
+    groups = own.where(long).groupBy("digest").agg(F.count("*").alias("n"), F.min("page_id").alias("first")).checkpoint()
+    again = groups.where("n > 1")
+    refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first")).cast("long").alias("refers_to")
+    columns = ("page_id", "url", "html", "digest")
+    if again.count() <= BROADCAST_DIGESTS:
+        found = own.join(F.broadcast(again.select("digest", "first")), "digest", "left")
+        ready = found.select(*columns, F.when(long, refers).alias("refers_to"))
+    else:
+        # hot payloads are not shuffled, nor are short ones
+        counts = groups.agg(F.sum("n")).first()[0]
+        hot = hot_keys(again, "digest", BROADCAST_DIGESTS // HEAVY, counts)
+        placed = join_spread(own.where(long), groups.select("digest", "first"), "digest", hot)
+        ready = placed.select(*columns, refers).unionByName(own.where(~long).select(*columns, F.lit(None).cast("long").alias("refers_to")))
     return ready.mapInArrow(partial(_write, folder=folder), "file string, size long").checkpoint()
 
 
@@ -230,6 +244,12 @@ def read_archives(spark: SparkSession, files: DataFrame, folder: str, split: int
 def shared_folder(spark: SparkSession) -> str:
     """A new folder for archives under the shared one that the session names."""
     prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = checkpoint_folder(spark)
     base = base.replace("file:/", "file:///", 1) if base.startswith("file:/") and not base.startswith("file://") else base
     return f"{base.rstrip('/')}/warc-{uuid.uuid4().hex}"
+
+
+def remove_folder(folder: str) -> None:
+    """Delete archives that are no longer needed."""
+    fs, root = _opened(folder)
+    fs.delete_dir(root)
