@@ -13,8 +13,10 @@ every class that can be as near; all classes within the bound are scored
 exactly too, so that the result is that of brute force.
 
 Equal vectors are one class first (with the smallest ids, as many as a query
-can need), so that a very common vector costs one code. Queries and classes
-meet in blocks of bounded size; every query block scans every class block.
+can need), so that a very common vector costs one code. The index stays where it
+is: queries are broadcast to it, QUERY_BYTES at a time, and a task scans its classes
+block by block, holding the best of every query. These bound what a later block
+has to score exactly, and only they are shuffled. Every query meets every class.
 
 Codebooks are fitted on at most FIT_ROWS classes, those of smallest hash;
 every class is indexed.
@@ -30,7 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +47,9 @@ FIT_ROWS = 8192
 SUB, CENTROIDS, ROUNDS = 2, 16, 6
 #: Weight of the parallel residual against the orthogonal one.
 ETA = 3.0
-QUERY_BLOCK, CLASS_BLOCK = 512, 4096
+#: Bytes of queries that are broadcast at once, queries that are scanned at once,
+#: and the classes that they meet then.
+QUERY_BYTES, QUERY_BLOCK, CLASS_BLOCK = 1 << 24, 512, 4096
 #: Candidates of a block that are scored exactly first, per query.
 RERANK = 256
 #: Allowance for rounding in double precision.
@@ -174,39 +178,62 @@ def _index(batches: Iterator[pa.RecordBatch], books: np.ndarray) -> Iterator[pa.
         codes = encode(x, books)
         along, across = residuals(x, codes, books)
         packed = pa.array([c.tobytes() for c in pack4(codes)], pa.binary())
-        cols = [batch.column("class"), batch.column("block"), batch.column("vector"), packed, pa.array(along), pa.array(across)]
-        yield pa.RecordBatch.from_arrays(cols, names=["class", "block", "vector", "codes", "along", "across"])
-
-
-def _search(key, classes: pa.Table, queries: pa.Table, books: np.ndarray, k: int, rerank: int) -> pa.Table:
-    """The classes of one block that are nearest to each query of one block."""
-    q_ids, found, scores = [], [], []
-    if classes.num_rows and queries.num_rows:
-        ids = classes.column("class").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        x = np.stack([np.frombuffer(b, np.float32) for b in classes.column("vector").to_pylist()])[order]
-        codes = np.stack([np.frombuffer(b, np.uint8) for b in classes.column("codes").to_pylist()])[order]
-        q = np.stack([np.frombuffer(b, np.float32) for b in queries.column("vector").to_pylist()])
-        along, across = (classes.column(c).to_numpy()[order] for c in ("along", "across"))
-        tables, step, shift = _tables(unit(q.astype(np.float64)), books)
-        approx = _sums(tables, codes)
-        first = max(rerank, k + 1)
-        for i, query in enumerate(queries.column("query_id").to_pylist()):
-            at = np.argpartition(-approx[i].astype(np.int32), min(first, len(ids) - 1))[:first]
-            exact = cosine(q[i], x[at])
-            if len(at) < len(ids):
+        cols = [batch.column("class"), batch.column("vector"), packed, pa.array(along), pa.array(across)]
+        yield pa.RecordBatch.from_arrays(cols, names=["class", "vector", "codes", "along", "across"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """The rows of all batches, about `size` at a time."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _search(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, books: np.ndarray, k: int, rerank: int) -> Iterator[pa.RecordBatch]:
+    """The classes of a task that are nearest to each query: k and one more, as
+    one may hold nothing but the query itself."""
+    most, scaled = k + 1, unit(queries.astype(np.float64))
+    best = np.full((len(ids), most), -np.inf)
+    owner = np.full((len(ids), most), np.iinfo(np.int64).max)
+    for table in _blocks(batches, CLASS_BLOCK):
+        order = np.argsort(table.column("class").to_numpy(), kind="stable")
+        classes = table.column("class").to_numpy()[order]
+        x = np.stack([np.frombuffer(b, np.float32) for b in table.column("vector").to_pylist()])[order]
+        codes = np.stack([np.frombuffer(b, np.uint8) for b in table.column("codes").to_pylist()])[order]
+        along, across = (table.column(c).to_numpy()[order] for c in ("along", "across"))
+        for begin in range(0, len(ids), QUERY_BLOCK):
+            tables, step, shift = _tables(scaled[begin : begin + QUERY_BLOCK], books)
+            approx = _sums(tables, codes)
+            for j in range(len(approx)):
+                i = begin + j
                 # entries are off by half a step at most
-                decoded = (approx[i] + len(books) / 2) * step[i] + shift[i]
-                near = decoded >= least(np.partition(exact, -k - 1)[-k - 1], along, across)
+                decoded = (approx[j] + len(books) / 2) * step[j] + shift[j]
+                at = np.zeros(0, np.int64)
+                if best[i, -1] == -np.inf:
+                    first = max(rerank, most)
+                    at = np.argpartition(-decoded, min(first, len(classes) - 1))[:first]
+                    exact = cosine(queries[i], x[at])
+                    _keep(best[i], owner[i], exact, classes[at])
+                near = decoded >= least(best[i, -1], along, across) if best[i, -1] > -np.inf else np.ones(len(classes), bool)
                 near[at] = False
                 more = np.flatnonzero(near)
-                at, exact = np.concatenate((at, more)), np.concatenate((exact, cosine(q[i], x[more])))
-            best = np.lexsort((ids[at], -exact))[: k + 1]
-            q_ids += [query] * len(best)
-            found += ids[at][best].tolist()
-            scores += exact[best].tolist()
-    return pa.Table.from_arrays([pa.array(q_ids, pa.int64()), pa.array(found, pa.int64()), pa.array(scores, pa.float64())], names=["query_id", "class", "score"])
+                if len(more):
+                    _keep(best[i], owner[i], cosine(queries[i], x[more]), classes[more])
+    row, place = np.nonzero(best > -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(owner[row, place]), pa.array(best[row, place])], names=["query_id", "class", "score"])
+
+
+def _keep(best: np.ndarray, owner: np.ndarray, scores: np.ndarray, classes: np.ndarray) -> None:
+    """Put those scores and classes that belong there among the best, in place."""
+    scores, classes = np.concatenate((best, scores)), np.concatenate((owner, classes))
+    order = np.lexsort((classes, -scores))[: len(best)]
+    best[:], owner[:] = scores[order], classes[order]
 
 
 def usable(vector: Column) -> Column:
@@ -233,21 +260,26 @@ def nearest(rows: DataFrame, is_query: Column, k: int = 5, rerank: int = RERANK)
     classes = members.where("n = 1").select("class", "v")
     sample = classes.orderBy(F.xxhash64("class"), "class").limit(FIT_ROWS).toPandas()
     books = fit(unit(np.stack(sample["v"].to_numpy()).astype(np.float64)))
-    bytes_of = _to_bytes
-    n_blocks = max(1, -(-members.where("n = 1").count() // CLASS_BLOCK))
-    dealt = bytes_of(classes.withColumn("block", F.pmod(F.xxhash64("class"), F.lit(n_blocks)).cast("int")), "class long, block int", ("class", "block"))
-    index = dealt.mapInArrow(partial(_index, books=books), "class long, block int, vector binary, codes binary, along double, across double").checkpoint()
-    asked = own.where("q").select(F.col("vec_id").alias("query_id"), "v").distinct()
-    q_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = bytes_of(asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")), "query_id long, qb int", ("query_id", "qb"))
-    # each block of one side goes to every block of the other
-    left = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def run(key, classes, queries):
-        return _search(key, classes, queries, books, k, rerank)
-
-    near = left.groupBy("block", "qb").cogroup(right.groupBy("block", "qb")).applyInArrow(run, "query_id long, class long, score double")
+    rows = _to_bytes(classes, "class long", ("class",))
+    index = rows.mapInArrow(partial(_index, books=books), "class long, vector binary, codes binary, along double, across double").checkpoint()
+    asked = own.where("q").select(F.col("vec_id").alias("query_id"), "v").distinct().checkpoint()
+    turns = max(1, -(-asked.count() * 4 * common["dims"] // QUERY_BYTES))
+    found = []
+    for turn in range(turns):
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(turns)) == turn).orderBy("query_id").toArrow()
+        ids = some.column("query_id").to_numpy()
+        queries = np.stack(some.column("v").to_numpy()).astype(np.float32) if len(ids) else np.zeros((0, common["dims"]), np.float32)
+        sent = spark.sparkContext.broadcast((ids, queries, books))
+
+        def run(batches, sent=sent):
+            return _search(batches, *sent.value, k, rerank)
+
+        near = index.mapInArrow(run, "query_id long, class long, score double")
+        if turns > 1:  # what was broadcast may go before the next turn
+            near = near.checkpoint()
+            sent.destroy()
+        found.append(near)
+    near = reduce(DataFrame.unionAll, found)
     best = near.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "class"))).where(F.col("r") <= k + 1)
     ids = best.join(members.select("class", "vec_id"), "class").where("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
