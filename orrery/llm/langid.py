@@ -6,8 +6,8 @@ a forward pass finds; a text's is the product over its words. Probabilities
 are fitted by expectation maximisation: forward and backward passes give each
 piece's expected count over the segmentations of the training words.
 
-Words are maximal runs of letters, lower-cased; pieces are the vocabulary's
-pieces of letters, up to 8 of them, lower-cased. A letter that no piece covers
+Words are maximal runs of letters, lower-cased; pieces are all pieces of the
+vocabulary that are letters, lower-cased. A letter that no piece covers
 counts as an unknown piece of one letter. All distinct words of a batch go
 through the passes at once, position by position. Values are rescaled by a
 power of two at each position, whose exponents are carried, so that words of
@@ -39,7 +39,7 @@ from orrery.llm.session import prepare
 
 #: Bound of the training sample, rows of each language.
 TRAIN_DOCS = 1000
-PIECE_CHARS, ROUNDS = 8, 4
+ROUNDS = 4
 #: Probability of an unknown letter, and what each piece's count starts from.
 UNKNOWN, PRIOR = 1e-6, 0.05
 UNDETERMINED = "und"
@@ -53,7 +53,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= PIECE_CHARS and _LETTERS.fullmatch(p))
+    return sorted(p for p in pieces if _LETTERS.fullmatch(p))
 
 
 def distinct_words(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
@@ -72,21 +72,25 @@ class Lattice:
         self.size = size[self.order]
         self.words = [words[i] for i in self.order]
         top = int(self.size[-1]) if len(words) else 0
-        # piece[t][l]: for words of t letters or more, the piece that ends there
-        # and has l letters; -1: none. Words are sorted, so these are a suffix.
+        # piece[t][k]: for words of t letters or more, the piece that ends there
+        # and has k letters; -1: none. Words are sorted, so these are a suffix.
         self.first = [int(np.searchsorted(self.size, t)) for t in range(top + 1)]
-        self.top, self.piece, self.lengths = top, [[]], [[]]
+        self.top, self.piece = top, [{}]
         get = number.get
+        self.longest = max(map(len, number), default=1)
         for t in range(1, top + 1):
             suffix = self.words[self.first[t] :]
-            found = [np.fromiter((get(w[t - k : t], -1) for w in suffix), np.int32, len(suffix)) for k in range(1, min(t, PIECE_CHARS) + 1)]
+            found = {1: np.fromiter((get(w[t - 1 : t], -1) for w in suffix), np.int32, len(suffix))}
+            for k in range(2, min(t, self.longest) + 1):
+                at = np.fromiter((get(w[t - k : t], -1) for w in suffix), np.int32, len(suffix))
+                if at.max() >= 0:
+                    found[k] = at
+            # by length: those of which some word has a piece here, and one letter
             self.piece.append(found)
-            # lengths of which some word has a piece here (or an unknown letter)
-            self.lengths.append([k for k, at in enumerate(found, 1) if k == 1 or at.max() >= 0])
 
     def chances(self, prob: np.ndarray, t: int, k: int) -> np.ndarray:
         """Probabilities (word, language) of the pieces of k letters ending at t."""
-        at = self.piece[t][k - 1]
+        at = self.piece[t][k]
         return np.where((at >= 0)[:, None], prob[at], UNKNOWN if k == 1 else 0.0)
 
     def forward(self, prob: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -95,7 +99,7 @@ class Lattice:
         shape = (len(self.words), prob.shape[1])
         alpha, power = [np.ones(shape)], [np.zeros(shape, np.int32)]
         for t in range(1, self.top + 1):
-            lengths = self.lengths[t]
+            lengths = [*self.piece[t]]
             shifts = [self.first[t] - self.first[t - k] for k in lengths]
             base = power[t - 1][shifts[0] :]
             total = 0.0
@@ -136,13 +140,13 @@ class Lattice:
             own[:ends] = 1.0  # words of t letters end here
             if t < self.top:
                 exponent[ends:] = back[t + 1]
-            for k in range(1, min(self.top - t, PIECE_CHARS) + 1):
-                if k not in self.lengths[t + k]:
+            for k in range(1, min(self.top - t, self.longest) + 1):
+                if k not in self.piece[t + k]:
                     continue
                 shift = self.first[t + k] - self.first[t]
                 step = self.chances(prob, t + k, k)[:, 0] * beta[t + k]
                 own[shift:] += step if k == 1 else np.ldexp(step, back[t + k] - exponent[shift:])
-                at = self.piece[t + k][k - 1]
+                at = self.piece[t + k][k]
                 mass = np.ldexp(alpha[t][shift:, 0] * step * scale[self.first[t + k] :], power[t][shift:, 0] + back[t + k] - last[self.first[t + k] :])
                 counts += np.bincount(np.where(at >= 0, at, pieces), mass, pieces + 1)
             beta[t], up = np.frexp(own)
