@@ -106,7 +106,7 @@ def test_cross_component_blocks():
     assert abs(est - true) < 0.12 and abs(same - true) < 0.15
     block = [
         {"bucket": 1, "band": int((regs[0] == regs[1]).reshape(-1, 4).all(1).argmax()), "g1": 0, "g2": 0, "own": 0, "node": k, "c": k,
-         "hashes": np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes(), "registers": r.tobytes()}
+         "hashes": s.tobytes(), "registers": r.tobytes()}
         for k, (s, r) in enumerate(zip(sets[:2], regs[:2]))
     ]
     assert neardup._block_links(block, 75) == [(0, 1)]
@@ -241,11 +241,55 @@ def test_mixing(docs):
     assert mixing.taken_words(docs.limit(0)).count() == 0
 
 
-def test_mixing_draws_of_many_blocks():
-    owner = next(c for c in vars(mixing).values() if hasattr(c, "_draw"))
-    left = np.array([6 * 10**8] * 3)
-    drawn = owner._draw(np.random.default_rng(1), left, 10**6)
-    assert drawn.sum() == 10**6 and (drawn >= 0).all() and (drawn <= left).all()
+def test_mixing_levels(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(4):
+        sizes = (10 ** rng.uniform(0, 6, 12)).astype(int).tolist() + [0]
+        weight = [1.0 + k % 3 for k in range(13)]
+        want = mixing.targets(sizes, weight)
+        level = mixing.levels(spark.createDataFrame(list(zip(sizes, weight)), "source_size long, weight double"))
+        assert [min(level * w, 3.0 * s) for s, w in zip(sizes, weight)] == pytest.approx(want) and sum(want) == pytest.approx(sum(sizes))
+    names = ["b", "a", "é", "B", "", None, "\U0001f44d", "\uffff"]
+    got = mixing.ranked(spark.createDataFrame([(n,) for n in names], "source string").repartition(3)).collect()
+    assert [r["source"] for r in sorted(got, key=lambda r: r["source_no"])] == ["", "B", "a", "b", "é", "\uffff", "\U0001f44d", None]
+
+
+def test_mixing_draws():
+    import pyarrow as pa
+
+    quota, blocks = [7, 4 * 10**9, 0, 300_000], [3, 2 * 10**9, 5, 100_000]
+    table = pa.RecordBatch.from_pydict({"source_no": [0, 1, 2, 3], "quota": quota, "blocks": blocks})
+    runs = pa.Table.from_batches([*mixing._draws(iter([table]), 1, 40)]).to_pandas()
+    for k, q in enumerate(quota):
+        own = runs[runs["source_no"] == k]
+        assert own["count"].sum() == q and (own["first"].to_numpy() == np.cumsum(own["count"]) - own["count"]).all()
+        assert own["shard"].is_monotonic_increasing and (own["count"] <= mixing.RUN).all()
+        shares = own.groupby("shard")["count"].sum()
+        assert q < 10**5 or (abs(shares - q / 40) < 6 * (q / 40) ** 0.5).all()
+
+
+def test_mixing_by_hand(docs):
+    """taken, from the slots, the order of the documents and their words."""
+    spark, wanted = docs.sparkSession, None
+    rows = docs.select("doc_id", "text", "source").distinct()
+    for n in ("4", "7", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got = sorted(([*r] for r in mixing.taken_words(rows.repartition(int(n))).collect()), key=repr)
+        wanted = wanted or got
+        assert got == wanted
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    mix = mixing.Mix(rows)
+    used = Counter((r["source_no"], r["block"]) for r in mix.slots().collect())
+    hashed = rows.select("doc_id", "source", "text", F.xxhash64("doc_id", "text").alias("h")).collect()
+    number = {r["source"]: r["source_no"] for r in mix.layout().select("source", "source_no").distinct().collect()}
+    taken, at = {}, Counter()
+    for r in sorted(hashed, key=lambda r: (number[r["source"]], r["h"] % mixing.BUCKETS, r["h"])):
+        k, size = number[r["source"]], len(split(r["text"]))
+        taken[r["h"]] = sum(used[k, (at[k] + i) // mixing.BLOCK] for i in range(size))
+        at[k] += size
+    mine = mixing.taken_words(rows).join(rows.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), F.size(F.split("text", " ")).alias("x")), ["doc_id", "source"]).collect()
+    assert sum(r["taken"] for r in mine if r["doc_id"] is not None) > 0
+    assert all(taken[r["h"]] == r["taken"] for r in mine if r["doc_id"] not in (7, None) and r["source"] is not None)
 
 
 def test_packing(docs):
