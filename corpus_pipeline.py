@@ -3,6 +3,12 @@
 Each stage is a function of (spark, docs, sf_dir); all but the last return the
 columns of documents. run() writes each stage's result as Parquet to a folder
 under the shared one that the session names, and reads it again.
+
+Defined results, by stage: the rules reject null, empty and blank texts; of rows
+without a doc_id none is a copy of another; repeated rows are one; a text that
+is nothing but repeated passages becomes empty, and the mix takes nothing of
+it; null sources are one source; an empty table gives an empty result; further
+columns are carried to the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import mixing, neardup, packing, quality, substring
 from orrery.llm.entries import tokenizer_path
-from orrery.llm.session import prepare
+from orrery.llm.session import checkpoint_folder, prepare
 
 #: Policy of the quality rules, seed of the mix.
 POLICY, SEED = "v2", 1
@@ -56,12 +62,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. A stage's files go when the next has read
+    them; those of the result go with the application."""
     prepare(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(path)
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{path}/{name}")
+        docs = spark.read.parquet(f"{path}/{name}")
+        if last:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{last}"), True)
+        last = name
     return docs
