@@ -52,10 +52,19 @@ MEDIA_TYPES = {
 }
 
 
+#: For str.translate: A-Z folded only.
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def json_string(c: Column) -> Column:
+    """A string as JSON text, escaped; null for null."""
+    return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z folded only, unlike lower()."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import exact_u32, normalize_path
 from orrery.functions.scores import METRICS, Weights, score_columns
 from orrery.operators.find import string_attribute, u32_attribute
-from orrery.operators.rank import best_measurements
 from orrery.schema import CODE_MODEL, REQUIRED, SCORE, SCORE_MODEL, MEASUREMENT
 
 
@@ -108,32 +107,59 @@ def derive_coverage(entities: DataFrame, report: DataFrame) -> DataFrame:
     return found.withColumn("measurements", F.when(F.col("line_coverage").isNotNull(), F.concat("measurements", made)).otherwise(F.col("measurements"))).drop("line_coverage", "branch_coverage")
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def metrics(measurements: str = "measurements") -> Column:
+    """A struct of the ten metrics of an entity's row, each from its best
+    measurement (as best_measurements picks it); counts must be whole numbers
+    of 32 bits."""
+    ranked = F.array_sort(
+        F.transform(
+            measurements,
+            lambda m, i: F.struct((-F.coalesce(m["confidence"], F.lit(0.0))).alias("doubt"), F.coalesce(m["observer"], F.lit("")).alias("observer"), (-i).alias("age"), m["name"].alias("name"), m["value"].alias("value")),
+        )
+    )
+
+    def first(found: Column, name: str) -> Column:
+        return F.get(F.filter(found, lambda m: m["name"] == name), F.lit(0))["value"]
+
+    def wide(found: Column) -> Column:
+        best = {k: first(found, n) for k, n in zip(METRICS, REQUIRED, strict=True)}
+        return F.struct(*[(exact_u32(c) if k in METRICS[:7] else c).alias(k) for k, c in best.items()])
+
+    return _let(ranked, wide)
+
+
 def metrics_pivot(entities: DataFrame) -> DataFrame:
-    """id and the ten metrics, each from its best measurement; counts must be
-    whole numbers of 32 bits."""
-    rows = entities.select("id", F.posexplode("measurements").alias("ordinal", "m")).select("id", "ordinal", "m.*").where(F.col("name").isin(list(REQUIRED)))
-    best = best_measurements(rows, ["id", "name"])
-    names = dict(zip(METRICS, REQUIRED, strict=True))
-    pick = lambda k: F.max(F.when(F.col("name") == names[k], F.col("value"))).alias(k)
-    wide = best.groupBy("id").agg(*[pick(k) for k in METRICS])
-    return wide.select("id", *[(exact_u32(F.col(k)) if k in METRICS[:7] else F.col(k)).alias(k) for k in METRICS])
+    """id and the ten metrics, from the row alone."""
+    return entities.select("id", metrics().alias("m")).select("id", "m.*")
 
 
 def score(entities: DataFrame, weights: Weights = Weights()) -> DataFrame:
-    """entities with the four scores anew, where all ten metrics are there."""
-    columns = score_columns({k: F.col(k) for k in METRICS}, weights)
-    made = metrics_pivot(entities).select("id", F.array(*[F.struct(F.lit(SCORE_MODEL).alias("model"), F.lit(weights.formula_version).alias("version"), F.lit(d).alias("dimension"), c.alias("value")) for d, c in columns.items()]).cast(f"array<{SCORE}>").alias("__s"))
-    fits = (F.col("model") == CODE_MODEL) & (F.col("kind") != "file") & F.get("__s", 0)["value"].isNotNull()
-    rest = F.filter("scores", lambda s: s["model"] != SCORE_MODEL)
-    found = entities.join(made, "id", "left")
-    return found.withColumn("scores", F.when(fits, F.concat(rest, F.col("__s"))).otherwise(F.col("scores"))).drop("__s")
+    """entities with the four scores anew, where all ten metrics are there. A
+    projection: what a score needs stands in the entity's own row."""
+
+    def scored(m: Column) -> Column:
+        columns = score_columns({k: m[k] for k in METRICS}, weights)
+        made = F.array(*[F.struct(F.lit(SCORE_MODEL).alias("model"), F.lit(weights.formula_version).alias("version"), F.lit(d).alias("dimension"), c.alias("value")) for d, c in columns.items()])
+        return made.cast(f"array<{SCORE}>")
+
+    def replaced(made: Column) -> Column:
+        fits = (F.col("model") == CODE_MODEL) & (F.col("kind") != "file") & F.get(made, F.lit(0))["value"].isNotNull()
+        rest = F.filter("scores", lambda s: s["model"] != SCORE_MODEL)
+        return F.when(fits, F.concat(rest, made)).otherwise(F.col("scores"))
+
+    return entities.withColumn("scores", _let(_let(metrics(), scored), replaced))
 
 
-def file_history(changes: DataFrame, cutoff: int, path: str = "path") -> DataFrame:
+def file_history(changes: DataFrame, cutoff: int, path: str = "path", also: tuple[Column, ...] = ()) -> DataFrame:
     """Per lineage of changes (path, seq, ts in unix seconds, author): commits,
     contributors, first and last ts by sequence, mean days between changes
     (negative gaps are 0; one commit: 0), recent commits since cutoff and their
-    frequency."""
+    frequency. also: further aggregates."""
     from orrery.functions.scalars import recent_frequency
 
     order = W.partitionBy(path).orderBy("seq")
@@ -147,5 +173,6 @@ def file_history(changes: DataFrame, cutoff: int, path: str = "path") -> DataFra
         F.max_by("ts", "seq").alias("modified_at"),
         F.when(n > 1, F.coalesce(F.sum("gap"), F.lit(0.0)) / (n - 1)).otherwise(F.lit(0.0)).alias("average_days"),
         F.count_if(F.col("ts") >= cutoff).alias("recent"),
+        *also,
     )
     return out.withColumn("frequency", recent_frequency(F.col("recent")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orrery.functions.scalars import ascii_lower, exact_u32
-from orrery.schema import InvalidRequest
+from orrery.schema import DIMENSIONS, SCORE_MODEL, InvalidRequest
 
 
 def of_snapshot(df: DataFrame, world: str, version: str) -> DataFrame:
@@ -41,7 +42,7 @@ def find_entities(
 
 def code_find(entities: DataFrame, path: str | None = None, name_contains: str | None = None, kind: str | None = None, language: str | None = None, limit: int | None = None) -> DataFrame:
     """find_entities over the code model; path and language by equality."""
-    wanted = {k: f'"{v}"' for k, v in (("file_path", path), ("language", language)) if v is not None}
+    wanted = {k: json.dumps(v, ensure_ascii=False) for k, v in (("file_path", path), ("language", language)) if v is not None}
     return find_entities(entities, "code", kind, name_contains, wanted, limit)
 
 
@@ -99,30 +100,42 @@ def summary(entities: DataFrame) -> DataFrame:
     return entities.select("id", "label", "kind", string_attribute("file_path").alias("path"), u32_attribute("line_start").alias("line_start"), u32_attribute("line_end").alias("line_end"))
 
 
-def node_views(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """Entities with incoming and outgoing edges, without `contains`; a
-    self-loop is outgoing only."""
+def avec(dimensions: tuple[str, ...] = DIMENSIONS) -> Column:
+    """The profile of the ranking model: a struct of the first score in each
+    dimension; null unless all are there."""
+    first = lambda d: F.get(F.filter("scores", lambda s: (s["model"] == SCORE_MODEL) & (s["dimension"] == d)), F.lit(0))["value"]
+    whole = F.lit(True)
+    for d in dimensions:
+        whole = whole & first(d).isNotNull()
+    return F.when(whole, F.struct(*[first(d).alias(d) for d in dimensions]))
+
+
+def node_columns(include_scores: bool = True) -> list[Column]:
+    """A node's own columns, without edges."""
+    profile = avec() if include_scores else F.lit(None).cast(f"struct<{','.join(f'{d}:double' for d in DIMENSIONS)}>")
+    return [
+        F.col("id"),
+        F.col("label"),
+        F.col("kind"),
+        string_attribute("language").alias("language"),
+        string_attribute("namespace").alias("namespace"),
+        string_attribute("signature").alias("signature"),
+        string_attribute("file_path").alias("path"),
+        u32_attribute("line_start").alias("line_start"),
+        u32_attribute("line_end").alias("line_end"),
+        count_measurement("graph.incoming_edges").alias("incoming_edges"),
+        count_measurement("graph.outgoing_edges").alias("outgoing_edges"),
+        profile.alias("avec"),
+    ]
+
+
+def node_views(entities: DataFrame, relations: DataFrame, include_scores: bool = True) -> DataFrame:
+    """Entities with their profile (if asked for) and incoming and outgoing
+    edges, without `contains`; a self-loop is outgoing only."""
     edges = relations.where("kind <> 'contains'")
     view = F.struct(F.col("id").alias("relation_id"), "kind", "from_id", "to_id", "weight")
     out = edges.groupBy(F.col("from_id").alias("id")).agg(F.array_sort(F.collect_list(view)).alias("outgoing"))
     into = edges.where("from_id <> to_id").groupBy(F.col("to_id").alias("id")).agg(F.array_sort(F.collect_list(view)).alias("incoming"))
     empty = F.array().cast("array<struct<relation_id:string,kind:string,from_id:string,to_id:string,weight:double>>")
-    return (
-        entities.join(out, "id", "left")
-        .join(into, "id", "left")
-        .select(
-            "id",
-            "label",
-            "kind",
-            string_attribute("language").alias("language"),
-            string_attribute("namespace").alias("namespace"),
-            string_attribute("signature").alias("signature"),
-            string_attribute("file_path").alias("path"),
-            u32_attribute("line_start").alias("line_start"),
-            u32_attribute("line_end").alias("line_end"),
-            count_measurement("graph.incoming_edges").alias("incoming_edges"),
-            count_measurement("graph.outgoing_edges").alias("outgoing_edges"),
-            F.coalesce("incoming", empty).alias("incoming"),
-            F.coalesce("outgoing", empty).alias("outgoing"),
-        )
-    )
+    found = entities.join(out, "id", "left").join(into, "id", "left")
+    return found.select(*node_columns(include_scores), F.coalesce("incoming", empty).alias("incoming"), F.coalesce("outgoing", empty).alias("outgoing"))

@@ -8,6 +8,7 @@ aggregation with partial combination, or a window over one id's evidence.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,6 +23,45 @@ def union_ranked(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), ranked)
 
 
+@dataclass
+class Batch:
+    """What one observer says of one snapshot. mode: `replace` or `amend`."""
+
+    world: str
+    version: str
+    entities: DataFrame
+    relations: DataFrame
+    observer: str = ""
+    mode: str = "replace"
+    coverage: str = "complete"
+    provenance: list[dict] = field(default_factory=list)
+    diagnostics: list[dict] = field(default_factory=list)
+
+
+def joined_coverage(states: list[str]) -> str:
+    """merged_coverage of a list."""
+    return states[0] if len(set(states)) == 1 and states[0] in ("complete", "unavailable") else "partial"
+
+
+def merge_batches(batches: list[Batch]) -> Batch:
+    """One batch of all, in order. A batch of another snapshot or commit mode,
+    and observations that conflict, are refused; the first batch is taken as it
+    is, so that ids that it repeats are left for validation."""
+    first = batches[0]
+    for b in batches[1:]:
+        if (b.world, b.version) != (first.world, first.version):
+            raise ConflictError(f"{b.observer}: the batch is of another snapshot")
+        if b.mode != first.mode:
+            raise ConflictError(f"{b.observer}: the batch has another commit mode")
+    entities, relations = first.entities, first.relations
+    if len(batches) > 1:
+        entities, relations = merge(union_ranked([b.entities for b in batches]), union_ranked([b.relations for b in batches]))
+    return Batch(
+        first.world, first.version, entities, relations, first.observer, first.mode, joined_coverage([b.coverage for b in batches]),
+        [p for b in batches for p in b.provenance], [d for b in batches for d in b.diagnostics],
+    )
+
+
 def _keys(df: DataFrame) -> list[str]:
     return [c for c in ("world", "version") if c in df.columns] + ["id"]
 

@@ -1,9 +1,11 @@
 """Bounded breadth-first traversal, one job per level.
 
-Each level joins the frontier with the edges and drops nodes that are known.
-Spark sizes the frontier's side itself (broadcast under its threshold, else a
-shuffle), and checkpoints cut the lineage of each level. Ranking by discovery
-order happens only at the level where the node limit bites.
+The edges are dealt by the end that a step leaves from, once, and held so for
+the loop. Each level joins the frontier with them and drops nodes that are
+known. A frontier or a set of known nodes is broadcast while it is counted to
+be small, and shuffled beyond; the edges stay where they are. Checkpoints cut
+the lineage of each level. Ranking by discovery order happens only under a node
+limit, which bounds its sort.
 """
 
 from __future__ import annotations
@@ -15,20 +17,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from orrery.folders import checkpoint_folder
+from orrery.operators.find import node_columns
 from orrery.schema import DEPENDENCY_KINDS, EntityNotFound, InvalidNodeLimit, InvalidRequest
 
 
+#: Ids that a broadcast may hold.
+BROADCAST_NODES = 100_000
+
+
 @dataclass
 class Traversal:
     nodes: DataFrame  # id, depth
     relations: DataFrame
     truncated: bool
-
-
-def _checkpoint_dir(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    size: int  # of nodes
 
 
 def _ends(edges: DataFrame, direction: str) -> DataFrame:
@@ -44,6 +47,11 @@ def _ends(edges: DataFrame, direction: str) -> DataFrame:
     raise InvalidRequest(f"direction {direction!r}")
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_NODES else df
+
+
 def traverse(
     entities: DataFrame,
     relations: DataFrame,
@@ -61,18 +69,18 @@ def traverse(
         raise InvalidNodeLimit("max_nodes must be over 0")
     if entities.where(F.col("id") == root).isEmpty():
         raise EntityNotFound(root)
-    _checkpoint_dir(entities)
-    wanted = list(kinds)
-    # Every level reads the edges; they are held for the length of the loop.
-    edges = (relations.where(F.col("kind").isin(wanted)) if wanted else relations).persist()
-    steps = _ends(edges, direction)
     spark = entities.sparkSession
+    checkpoint_folder(spark)
+    wanted = list(kinds)
+    edges = relations.where(F.col("kind").isin(wanted)) if wanted else relations
+    steps = _ends(edges, direction).withColumnRenamed("id", "edge").repartition("near").persist()
     nodes = frontier = spark.createDataFrame([(root, 0, 0)], "id string, depth int, found long").checkpoint()
-    total, depth = 1, 0
+    total, width, depth = 1, 1, 0
     expanded = None
     while max_depth is None or depth < max_depth:
-        met = frontier.join(steps.withColumnRenamed("id", "edge"), F.col("id") == F.col("near")).select("far", "edge", "found")
-        fresh = met.join(nodes.select(F.col("id").alias("far")), "far", "left_anti")
+        near = _small(frontier.select(F.col("id").alias("near"), "found"), width)
+        met = steps.join(near, "near").select("far", "edge", "found")
+        fresh = met.join(_small(nodes.select(F.col("id").alias("far")), total), "far", "left_anti")
         new = fresh.groupBy("far").agg(F.min(F.struct("found", "edge")).alias("by")).checkpoint()
         count = new.count()
         expanded = frontier.select("id") if expanded is None else expanded.unionAll(frontier.select("id"))
@@ -86,19 +94,21 @@ def traverse(
         found = F.row_number().over(W.orderBy("by", "far")).cast("long") if max_nodes is not None else F.lit(0).cast("long")
         frontier = new.select(F.col("far").alias("id"), F.lit(depth).alias("depth"), found.alias("found")).checkpoint()
         nodes = nodes.unionAll(frontier)
-        total += min(count, room) if room is not None else count
+        width = min(count, room) if room is not None else count
+        total += width
         if room is not None and count > room:
             break
     ids = nodes.select("id")
     if expanded is None:  # max_depth 0: nothing is expanded
-        edges.unpersist()
-        return Traversal(nodes.select("id", "depth"), relations.limit(0), False)
-    incident = steps.join(expanded.withColumnRenamed("id", "near"), "near", "left_semi").select("id", "far")
-    inside = incident.join(ids.withColumnRenamed("id", "far"), "far", "left_semi").select("id").distinct()
-    cut = max_nodes is not None and not incident.join(ids.withColumnRenamed("id", "far"), "far", "left_anti").isEmpty()
+        steps.unpersist()
+        return Traversal(nodes.select("id", "depth"), relations.limit(0), False, total)
+    known = _small(ids.withColumnRenamed("id", "far"), total)
+    incident = steps.join(_small(expanded.withColumnRenamed("id", "near"), total), "near", "left_semi").select("edge", "far")
+    inside = incident.join(known, "far", "left_semi").select(F.col("edge").alias("id")).distinct()
+    cut = max_nodes is not None and not incident.join(known, "far", "left_anti").isEmpty()
     found = edges.join(inside, "id", "left_semi").checkpoint()
-    edges.unpersist()
-    return Traversal(nodes.select("id", "depth"), found, cut)
+    steps.unpersist()
+    return Traversal(nodes.select("id", "depth"), found, cut, total)
 
 
 def impact(entities: DataFrame, relations: DataFrame, root: str, max_depth: int | None = 3, max_nodes: int | None = 1000) -> tuple[DataFrame, Traversal]:
@@ -109,7 +119,9 @@ def impact(entities: DataFrame, relations: DataFrame, root: str, max_depth: int
     return counts.withColumn("relations", F.lit(t.relations.count())).withColumn("truncated", F.lit(t.truncated)), t
 
 
-def dependencies(entities: DataFrame, relations: DataFrame, root: str, direction: str = "both", max_depth: int | None = None, max_nodes: int | None = 10_000) -> DataFrame:
-    """depth, id, label, kind of every hit, root included, by depth and id."""
+def dependencies(entities: DataFrame, relations: DataFrame, root: str, direction: str = "both", max_depth: int | None = None, max_nodes: int | None = 10_000, include_scores: bool = False) -> DataFrame:
+    """depth and the node's view (without edges) of every hit, root included, by
+    depth and id."""
     t = traverse(entities, relations, root, direction, max_depth, max_nodes, DEPENDENCY_KINDS)
-    return t.nodes.join(entities.select("id", "label", "kind"), "id").select("depth", "id", "label", "kind").orderBy("depth", "id")
+    views = entities.join(_small(t.nodes.select("id"), t.size), "id", "left_semi").select(*node_columns(include_scores))
+    return t.nodes.join(views, "id").select("depth", *views.columns).orderBy("depth", "id")
