@@ -10,17 +10,21 @@ from __future__ import annotations
 import hashlib
 import subprocess
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions.scalars import detect_language, file_id, media_type, normalize_remote
+from orrery.functions.scalars import detect_language, file_id, json_string, media_type, normalize_remote
 from orrery.operators.derive import file_history
+from orrery.folders import shared_folder
 from orrery.schema import MEASUREMENT, SCORE, QueryError
 
 #: Bytes of one read group; days that count as recent.
 GROUP_BYTES, RECENT_DAYS = 4 << 20, 90
+#: Bytes of the log read at a time; changes that the driver holds at a time.
+CHUNK_BYTES, LOG_BATCH = 1 << 16, 50_000
 _LOG = ("--reverse", "--topo-order", "--name-status", "-M90", "-z", "--format=%x01%H%x1f%at%x1f%ae%x1f%aI")
 CHANGE = "seq long, ts long, author string, day string, status string, path string, old_path string"
 
@@ -120,28 +124,57 @@ def git_blobs(files: DataFrame, root: str) -> DataFrame:
     return files.select("path", "oid", "size").mapInPandas(run, "path string, oid string, content binary")
 
 
-def git_changes(spark: SparkSession, root: str, commit: str) -> DataFrame:
-    """Every change of every commit up to this one, in topological order."""
-    rows, seq = [], 0
-    for block in _git(root, "log", *_LOG, commit).decode(errors="replace").split("\x01")[1:]:
+def _log_blocks(root: str, commit: str) -> Iterator[str]:
+    """The log's commits one by one, read from the child process by chunks."""
+    with subprocess.Popen(["git", "-C", root, "log", *_LOG, commit], stdout=subprocess.PIPE, stderr=subprocess.PIPE) as child:
+        held = b""
+        while chunk := child.stdout.read(CHUNK_BYTES):
+            *whole, held = (held + chunk).split(b"\x01")
+            yield from (b.decode(errors="replace") for b in whole if b)
+        if held:
+            yield held.decode(errors="replace")
+        problem = child.stderr.read().decode(errors="replace").strip()
+    if child.returncode:
+        raise SourceError(problem)
+
+
+def _log_rows(root: str, commit: str) -> Iterator[tuple]:
+    """Rows of CHANGE, in the log's order."""
+    seq = 0
+    for block in _log_blocks(root, commit):
         head, _, rest = block.partition("\0")
         _, at, author, day = head.strip("\n").split("\x1f")
         tokens = [t.lstrip("\n") for t in rest.split("\0") if t.strip("\n")]
         while tokens:
             status = tokens.pop(0)
             old = tokens.pop(0) if status[0] in "RC" else None
-            rows.append((seq, int(at), author, day, status[0], tokens.pop(0), old))
+            yield (seq, int(at), author, day, status[0], tokens.pop(0), old)
             seq += 1
-    return spark.createDataFrame(rows, CHANGE)
+
+
+def git_changes(spark: SparkSession, root: str, commit: str, batch: int = LOG_BATCH) -> DataFrame:
+    """Every change of every commit up to this one, in topological order. A log
+    of more than a batch of changes goes to the shared folder batch by batch, so
+    that the driver holds one."""
+    rows = _log_rows(root, commit)
+    first = list(islice(rows, batch))
+    more = list(islice(rows, batch))
+    if not more:
+        return spark.createDataFrame(first, CHANGE)
+    folder = shared_folder(spark, "log")
+    for part in (first, more, *iter(lambda: list(islice(rows, batch)), [])):
+        spark.createDataFrame(part, CHANGE).write.mode("append").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def lineages(changes: DataFrame) -> DataFrame:
     """changes with lineage: the path that a change's history ends at, null if
-    a rename overwrote it. Renames form a sequence over all paths, so this is
-    one ordered pass; only rows and paths move, and the log is serial anyway."""
+    a rename overwrote it. Only changes of paths that some rename touches are
+    put in order, in one pass, as renames of a log are a sequence; all other
+    changes are of their own path."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
+        pdf = pdf.drop(columns="world").sort_values("seq")
         at: dict[str, int] = {}
         owner: list[int] = []
         for n, (status, path, old) in enumerate(zip(pdf["status"], pdf["path"], pdf["old_path"], strict=True)):
@@ -152,28 +185,48 @@ def lineages(changes: DataFrame) -> DataFrame:
         last = {v: k for k, v in at.items()}
         return pdf.assign(lineage=[last.get(o) for o in owner])
 
-    whole = changes.withColumn("world", F.lit(1)).groupBy("world")
-    return whole.applyInPandas(lambda pdf: run(pdf.drop(columns="world")), CHANGE + ", lineage string")
+    touched = changes.where("status = 'R'").select(F.explode(F.array("path", "old_path")).alias("path")).distinct()
+    alone = changes.join(touched, "path", "left_anti").withColumn("lineage", F.col("path"))
+    moved = changes.join(touched, "path", "left_semi").withColumn("world", F.lit(1)).groupBy("world")
+    return alone.unionByName(moved.applyInPandas(run, CHANGE + ", lineage string"))
 
 
 def git_history(changes: DataFrame, snapshot_ts: int) -> DataFrame:
     """file_history of each lineage, recent: within 90 days of the snapshot."""
     rows = lineages(changes).where("lineage IS NOT NULL").drop("path").withColumnRenamed("lineage", "path")
-    return file_history(rows, snapshot_ts - RECENT_DAYS * 86400)
+    first, last = F.min_by("day", "seq").alias("created_day"), F.max_by("day", "seq").alias("modified_day")
+    return file_history(rows, snapshot_ts - RECENT_DAYS * 86400, also=(first, last))
+
+
+def _history_attributes() -> list[Column]:
+    return [
+        F.lit("git.created_at"), json_string(F.col("created_day")), F.lit("git.last_modified_at"), json_string(F.col("modified_day")),
+        F.lit("git.recent_frequency"), json_string(F.col("frequency")),
+    ]
+
+
+def artifact_attributes(files: DataFrame, history: DataFrame) -> DataFrame:
+    """path, content_id, media_type and attributes (JSON texts) of every tracked
+    file; its history is among them where its language is known."""
+    known = files.where("language IS NOT NULL").select("path").join(history, "path")
+    found = files.select("path", "oid", "mode", "size", "language").join(known, "path", "left")
+    number = lambda c: F.col(c).cast("string")
+    attributes = F.create_map(
+        F.lit("language"), json_string(F.col("language")), F.lit("git.mode"), json_string(F.col("mode")), F.lit("file.size_bytes"), F.coalesce(number("size"), F.lit("null")), *_history_attributes(),
+        F.lit("git.total_commits"), number("commits"), F.lit("git.contributors"), number("contributors"), F.lit("git.average_days_between_changes"), number("average_days"), F.lit("git.recent_commits"), number("recent"),
+    )
+    return found.select("path", F.col("oid").alias("content_id"), media_type(F.col("language")).alias("media_type"), F.map_filter(attributes, lambda k, v: v.isNotNull()).alias("attributes"))
 
 
 def git_inventory(files: DataFrame, history: DataFrame, world: str, version: str) -> DataFrame:
     """File entities of known languages, with their history as measurements."""
-    m = lambda name, c: F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("git").alias("observer"), F.lit(1.0).alias("confidence"))
+    m = lambda name, c, unit="count": F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit("git").alias("observer"), F.lit(1.0).alias("confidence"))
     known = files.where("language IS NOT NULL").join(history, "path", "left")
-    evidence = F.array(m("git.total_commits", "commits"), m("git.contributors", "contributors"), m("git.average_days_between_changes", "average_days"))
-    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    attributes = F.map_filter(
-        F.create_map(
-            F.lit("language"), quoted(F.col("language")), F.lit("file_path"), quoted(F.col("path")), F.lit("media_type"), quoted(media_type(F.col("language"))), F.lit("git.change_frequency"), quoted(F.col("frequency"))
-        ),
-        lambda k, v: v.isNotNull(),
-    )
+    evidence = F.array(m("git.total_commits", "commits"), m("git.contributors", "contributors"), m("git.recent_commits", "recent"), m("git.average_days_between_changes", "average_days", "days"))
+    attributes = F.create_map(
+        F.lit("file_path"), json_string(F.col("path")), F.lit("language"), json_string(F.col("language")), F.lit("git.blob_oid"), json_string(F.col("oid")), F.lit("git.mode"), json_string(F.col("mode")),
+        F.lit("file.size_bytes"), F.coalesce(F.col("size").cast("string"), F.lit("null")), *_history_attributes(),
+    )
     return known.select(
         F.lit(world).alias("world"),
         F.lit(version).alias("version"),
@@ -181,7 +234,7 @@ def git_inventory(files: DataFrame, history: DataFrame, world: str, version: str
         F.lit("code").alias("model"),
         F.lit("file").alias("kind"),
         F.col("path").alias("label"),
-        attributes.alias("attributes"),
+        F.map_filter(attributes, lambda k, v: v.isNotNull()).alias("attributes"),
         F.when(F.col("commits").isNotNull(), evidence).otherwise(F.array()).cast(f"array<{MEASUREMENT}>").alias("measurements"),
         F.array().cast(f"array<{SCORE}>").alias("scores"),
     )

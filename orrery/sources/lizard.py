@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.functions.scalars import contains_id, detect_language, file_id, symbol_id
+from orrery.functions.scalars import contains_id, detect_language, file_id, json_string, symbol_id
 from orrery.schema import MEASUREMENT, SCORE
 
 #: Columns of the CSV, in order, if it has no header.
@@ -39,8 +39,6 @@ def lizard_symbols(rows: DataFrame, world: str, version: str) -> tuple[DataFrame
     known = rows.withColumn("language", detect_language(F.col("path"))).where("language IS NOT NULL")
     dotted = F.contains(F.col("qualified_name"), F.lit("::")) | F.contains(F.col("qualified_name"), F.lit("."))
     kind = F.when(F.col("language") == "rust", "unknown").when(dotted, "method").otherwise("function")
-    text = lambda c: F.to_json(F.struct(c.alias("v")))
-    quoted = lambda c: F.regexp_extract(text(c), r'^\{"v":(.*)\}$', 1)
     m = lambda name, c: F.struct(F.lit(name).alias("name"), F.col(c).cast("double").alias("value"), F.lit("count").alias("unit"), F.lit("lizard").alias("observer"), F.lit(0.8).alias("confidence"))
     sid = symbol_id(F.col("path"), F.col("name"), F.col("line_start"))
     fixed = (F.lit(world).alias("world"), F.lit(version).alias("version"))
@@ -51,7 +49,7 @@ def lizard_symbols(rows: DataFrame, world: str, version: str) -> tuple[DataFrame
         kind.alias("kind"),
         F.col("qualified_name").alias("label"),
         F.create_map(
-            F.lit("language"), quoted(F.col("language")), F.lit("file_path"), quoted(F.col("path")), F.lit("line_start"), F.col("line_start").cast("string"), F.lit("lizard.line_end"), F.col("line_end").cast("string")
+            F.lit("language"), json_string(F.col("language")), F.lit("file_path"), json_string(F.col("path")), F.lit("line_start"), F.col("line_start").cast("string"), F.lit("lizard.line_end"), F.col("line_end").cast("string")
         ).alias("attributes"),
         F.array(m("code.lines_of_code", "nloc"), m("code.cyclomatic_complexity", "ccn"), m("code.parameters", "params")).cast(f"array<{MEASUREMENT}>").alias("measurements"),
         F.array().cast(f"array<{SCORE}>").alias("scores"),

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.scalars import symbol_id
+from orrery.functions.scalars import contains_id, dependency_id, file_id, json_string, symbol_id
+from orrery.schema import CODE_MODEL, MEASUREMENT, OTHER_WEIGHT, SCORE, WEIGHTS
 
 # Symbol kind numbers of the protocol to entity kinds.
 KINDS = {2: "module", 4: "module", 3: "namespace", 5: "type", 10: "type", 23: "type", 11: "interface", 6: "method", 9: "method", 12: "function", 7: "field", 8: "field", 14: "constant", 22: "constant"}
@@ -92,3 +93,51 @@ def lsp_bases(catalog: DataFrame, language: str) -> tuple[DataFrame, DataFrame]:
     csharp = F.lit(language.lower() == "csharp") & F.regexp_like("base", F.lit(r"^I\p{Lu}"))
     edges = best.select(F.col("id").alias("from_id"), F.when(csharp, "implements").otherwise("inherits").alias("kind"), F.coalesce("target", missing).alias("to_id")).where("from_id <> to_id").distinct()
     return edges, best.where("target IS NULL").select(missing.alias("id"), F.col("base").alias("label")).distinct()
+
+
+def _entity(df: DataFrame, fixed: tuple[Column, ...], kind: Column, label: Column, attributes: dict[str, Column]) -> DataFrame:
+    pairs = F.create_map(*[x for k, c in attributes.items() for x in (F.lit(k), c)])
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    return df.select(
+        *fixed, "id", F.lit(CODE_MODEL).alias("model"), kind.alias("kind"), label.alias("label"),
+        F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("attributes"), empty(MEASUREMENT).alias("measurements"), empty(SCORE).alias("scores"),
+    )
+
+
+def dependency_edges(edges: DataFrame, world: str, version: str) -> DataFrame:
+    """Relations of edges (from_id, kind, to_id), each once, weighed by kind."""
+    weight = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in WEIGHTS.items() for x in kv]), F.col("kind")), F.lit(OTHER_WEIGHT))
+    return edges.select("from_id", "kind", "to_id").distinct().select(
+        F.lit(world).alias("world"), F.lit(version).alias("version"), dependency_id(F.col("from_id"), F.col("kind"), F.col("to_id")).alias("id"), F.lit(CODE_MODEL).alias("model"), "kind", "from_id", "to_id", weight.alias("weight"),
+        F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+
+
+def lsp_assemble(catalog: DataFrame, edges: DataFrame, unresolved: DataFrame, language: str, world: str, version: str) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of a language server's view: an entity for each
+    file and symbol of the catalog and for each unresolved type (id, label) that
+    an edge leads to, contains edges, and edges (from_id, kind, to_id)."""
+    fixed, lang = (F.lit(world).alias("world"), F.lit(version).alias("version")), json_string(F.lit(language))
+    path = json_string(F.col("path"))
+    files = _entity(catalog.select("path", file_id(F.col("path")).alias("id")).distinct(), fixed, F.lit("file"), F.col("path"), {"language": lang, "file_path": path})
+    qualified = F.when(F.col("namespace") != "", F.concat("namespace", F.lit("."), "name")).otherwise(F.col("name"))
+    symbols = _entity(
+        catalog, fixed, F.col("kind"), F.col("name"),
+        {
+            "language": lang, "qualified_name": json_string(qualified), "file_path": path, "line_start": F.col("line_start").cast("string"), "line_end": F.col("line_end").cast("string"),
+            "namespace": json_string(F.col("namespace")), "signature": json_string(F.col("detail")),
+        },
+    )
+    met = unresolved.select("id", "label").distinct().join(edges.select(F.col("to_id").alias("id")).distinct(), "id", "left_semi").join(catalog.select("id"), "id", "left_anti")
+    types = _entity(met, fixed, F.lit("type"), F.col("label"), {"language": lang, "resolution": json_string(F.lit("unresolved")), "qualified_name": json_string(F.col("label"))})
+    held = catalog.select("path", "id").distinct().select(
+        *fixed, contains_id(F.col("path"), F.col("id")).alias("id"), F.lit(CODE_MODEL).alias("model"), F.lit("contains").alias("kind"), file_id(F.col("path")).alias("from_id"), F.col("id").alias("to_id"), F.lit(WEIGHTS["contains"]).alias("weight"),
+        F.create_map().cast("map<string,string>").alias("attributes"),
+    )
+    return files.unionByName(symbols).unionByName(types), held.unionByName(dependency_edges(edges, world, version))
+
+
+def rust_analyzer(catalog: DataFrame, locations: DataFrame, calls: DataFrame, world: str, version: str) -> DataFrame:
+    """Relations only: the references and calls that rust-analyzer answers with,
+    between symbols that the syntax analyser found."""
+    return dependency_edges(lsp_references(catalog, locations).unionByName(lsp_calls(catalog, calls)), world, version)

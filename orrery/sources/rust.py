@@ -42,6 +42,92 @@ def _close(ts: list, i: int) -> int:
     return len(ts) - 1
 
 
+def balanced(source: str) -> bool:
+    """Whether every bracket closes in order."""
+    pairs, held = {")": "(", "}": "{", "]": "["}, []
+    for kind, text, *_ in tokens(source):
+        if kind == "sign" and text in "({[":
+            held.append(text)
+        elif kind == "sign" and text in pairs and (not held or held.pop() != pairs[text]):
+            return False
+    return not held
+
+
+# Binary operators, by how tightly they bind (loosest first).
+_LEVELS = (("||",), ("&&",), ("==", "!=", "<", ">", "<=", ">="), ("|",), ("^",), ("&",), ("<<", ">>"), ("+", "-"), ("*", "/", "%"), ("as",))
+_BINDS = {sign: k for k, level in enumerate(_LEVELS) for sign in level}
+_JOINED = {a + b for a, b in ("==", "!=", "<=", ">=", "<<", ">>", "..")}
+#: What ends an expression: no operator reaches across it.
+_STOPS = {";", ",", "=", "=>", "->", "..", "{", "}", "if", "else", "while", "match", "for", "in", "let", "return", "break", "loop", "move", "unsafe", "where", "fn"}
+
+
+def _operators(body: list) -> Iterator[tuple[str, bool]]:
+    """(text, whether it is an operand's or a bracket's) with signs that belong
+    together in one."""
+    i = 0
+    while i < len(body):
+        kind, text, _, stop = body[i]
+        if kind == "sign" and i + 1 < len(body) and body[i + 1][2] == stop and text + body[i + 1][1] in _JOINED:
+            yield text + body[i + 1][1], False
+            i += 2
+            continue
+        yield text, kind in ("word", "text", "life") and text not in _BINDS and text not in _STOPS
+        i += 1
+
+
+def logical_expressions(body: list) -> int:
+    """How many binary expressions hold `&&` or `||` anywhere within them.
+
+    Operators are read by precedence, brackets as operands that may hold some.
+    A frame is the operands (whether each holds one) and operators so far."""
+    found = 0
+
+    def reduce(frame: dict, least: int) -> None:
+        nonlocal found
+        while frame["signs"] and _BINDS[frame["signs"][-1]] >= least and len(frame["values"]) > 1:
+            sign, right = frame["signs"].pop(), frame["values"].pop()
+            frame["values"][-1] |= right or sign in ("&&", "||")
+            found += frame["values"][-1]
+
+    def end(frame: dict) -> None:
+        reduce(frame, 0)
+        frame["any"] |= any(frame["values"])
+        frame["values"], frame["signs"], frame["open"] = [], [], True
+
+    new = lambda: {"values": [], "signs": [], "open": True, "any": False, "bars": False}
+    stack = [new()]
+    for text, operand in _operators(body):
+        frame = stack[-1]
+        if frame["bars"]:  # parameters of a closure
+            frame["bars"] = text != "|"
+        elif text in ("(", "["):
+            stack.append(new())
+        elif text in (")", "]") and len(stack) > 1:
+            end(frame)
+            stack.pop()
+            outer, held = stack[-1], frame["any"]
+            if outer["open"] or not outer["values"]:
+                outer["values"].append(held)
+            else:  # arguments or an index: part of the operand before
+                outer["values"][-1] |= held
+            outer["open"] = False
+        elif text in _STOPS:
+            end(frame)
+        elif operand:
+            if frame["open"]:
+                frame["values"].append(False)
+            frame["open"] = False
+        elif text in _BINDS and not frame["open"]:
+            reduce(frame, _BINDS[text])
+            frame["signs"].append(text)
+            frame["open"] = True
+        elif text == "|":
+            frame["bars"] = True
+    for frame in stack:
+        end(frame)
+    return found
+
+
 def complexity(body: list) -> int:
     """1, and one for each branch, match arm, `?`, and each binary expression
     that holds `&&` or `||`."""
@@ -50,9 +136,9 @@ def complexity(body: list) -> int:
         before = body[i - 1][1] if i else ""
         if kind == "word" and text in _BRANCH and not (text == "for" and (before == "impl" or body[i + 1 : i + 2] and body[i + 1][1] == "<")):
             n += 1
-        elif kind == "sign" and (text in ("=>", "?") or text in ("&&", "||") and i and (body[i - 1][0] in ("word", "text") or before in (")", "]", "}"))):
+        elif kind == "sign" and text in ("=>", "?"):
             n += 1
-    return n
+    return n + logical_expressions(body)
 
 
 def _parameters(ts: list, a: int, b: int) -> int:

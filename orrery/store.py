@@ -28,6 +28,10 @@ class SnapshotStore:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def create(self) -> None:
+        """The store's folder, if it is not there."""
+        self._fs.mkdirs(self._path(f"{self.root}/snapshots"))
+
     def _pointer(self, world: str, version: str) -> str:
         name = hashlib.sha256(f"{world}\0{version}".encode()).hexdigest()[:40]
         return f"{self.root}/snapshots/{name}.json"
@@ -99,6 +103,14 @@ class SnapshotStore:
     def relations(self, world: str, version: str) -> DataFrame:
         return self._scan("relations", RELATION_DDL, world, version)
 
+    def entities_scan(self, world: str, version: str) -> DataFrame:
+        """All entities of a snapshot by id."""
+        return self.entities(world, version).orderBy("id")
+
+    def relations_scan(self, world: str, version: str) -> DataFrame:
+        """All relations of a snapshot by id."""
+        return self.relations(world, version).orderBy("id")
+
     def entity(self, world: str, version: str, entity_id: str) -> DataFrame:
         return self.entities(world, version).where(F.col("id") == entity_id).limit(1)
 

@@ -53,7 +53,8 @@ def test_history(spark, repository):
     early = {r["path"]: r for r in git.git_history(before, max(r["ts"] for r in before.collect())).collect()}["current.rs"]
     assert (early["commits"], early["recent"], early["frequency"]) == (4, 4, "medium") and early["average_days"] == pytest.approx(40 / 3)
     e = git.git_inventory(git.git_tree(spark, repository, info["commit"]), history, info["world"], info["version"]).collect()
-    assert [x["id"] for x in e] == ["file:current.rs"] and len(e[0]["measurements"]) == 3
+    assert [x["id"] for x in e] == ["file:current.rs"] and [m["name"] for m in e[0]["measurements"]] == ["git.total_commits", "git.contributors", "git.recent_commits", "git.average_days_between_changes"]
+    assert {"git.blob_oid", "git.mode", "git.created_at", "git.last_modified_at", "file.size_bytes"} < set(e[0]["attributes"])
 
 
 def test_rename_overwrites(spark):

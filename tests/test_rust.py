@@ -1,3 +1,5 @@
+import pytest
+
 from orrery.sources import rust
 
 SOURCE = '''use std::fmt::Display;
@@ -34,3 +36,19 @@ def test_symbols(spark):
 
 def test_module_parts():
     assert rust.module_parts("src/a/b.rs") == ["a", "b"] and rust.module_parts("src/lib.rs") == [] and rust.module_parts("x/mod.rs") == ["x"]
+
+
+@pytest.mark.parametrize(
+    "code, n",
+    [
+        ("a && b", 1), ("a && b && c", 2), ("a || b && c", 2), ("(a && b) == c", 2), ("q + p + (a && b)", 2), ("p + (a && b) + q", 3), ("x == y && z", 1), ("foo(a && b) == c", 2),
+        ("!(a && b)", 1), ("|| a && b", 1), ("v.any(|x| x && y)", 1), ("a == b", 0), ("let x = a && b; c || d", 2), ("f(|a, b| a || b) + 1", 2), ("m[i && j] < 3", 2), ("*a && &b", 1), ("x as u8 == 1 && y", 1), ("", 0),
+    ],
+)
+def test_logical_expressions(code, n):
+    """Each binary expression that holds a logical operator counts."""
+    assert rust.logical_expressions(rust.tokens(code)) == n
+
+
+def test_balanced():
+    assert rust.balanced('fn a() { ("}") }') and not rust.balanced("fn a( }") and not rust.balanced("fn a() {")
