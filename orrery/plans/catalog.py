@@ -9,7 +9,7 @@ from orrery.functions import scalars
 from orrery.operators import derive, diff, find, merge, rank, traverse, validate
 from orrery.plans import star
 from orrery.plans.star import table
-from orrery.schema import DIMENSIONS
+from orrery.schema import DIMENSIONS, REQUIRED, SCORE_MODEL
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,12 +95,21 @@ def gaps(spark: SparkSession, d: str) -> DataFrame:
     return rank.gaps(e).where(second).select("id", F.lit("code.cyclomatic_complexity").alias("missing"))
 
 
-@registered("SELECT count(*) AS scoreable, 0::BIGINT AS fully_scored, count(*) AS with_gaps FROM documents")
+@registered("""
+WITH e AS (SELECT doc_id, doc_id % 4 <> 0 AS measured, doc_id % 3 = 0 AS whole, doc_id % 5 <> 0 AS scored FROM documents)
+SELECT count(*) FILTER (measured) AS scoreable, count(*) FILTER (measured AND whole AND scored) AS fully_scored, count(*) FILTER (measured AND NOT (whole AND scored)) AS with_gaps FROM e
+""")
 def gaps_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of which some have no size, some all ten measurements, some all
+    four scores, of whatever model."""
+    m = lambda n: F.struct(F.lit(n).alias("name"), F.lit(1.0).alias("value"))
+    s = lambda n: F.struct(F.lit("other").alias("model"), F.lit(n).alias("dimension"), F.lit(0.5).alias("value"))
+    k = F.col("doc_id")
+    some = F.array(*[m(n) for n in (REQUIRED[0], REQUIRED[3])])
     docs = table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("id"),
-        F.array(F.struct(F.lit("code.lines_of_code").alias("name"), F.col("n_chars").cast("double").alias("value"))).alias("measurements"),
-        F.array().cast("array<struct<model:string,dimension:string,value:double>>").alias("scores"),
+        k.cast("string").alias("id"),
+        F.when(k % 4 == 0, F.array(m(REQUIRED[3]))).when(k % 3 == 0, F.array(*[m(n) for n in REQUIRED])).otherwise(some).alias("measurements"),
+        F.when(k % 5 != 0, F.array(*[s(n) for n in DIMENSIONS])).otherwise(F.array(s(DIMENSIONS[0]))).alias("scores"),
     )
     return rank.gaps_summary(docs)
 
@@ -223,7 +232,21 @@ def traverse_relations(spark: SparkSession, d: str) -> DataFrame:
     return t.relations.select("id", "kind")
 
 
-@registered()
+def _bounded(root: str, depth: int, most: int) -> str:
+    """SQL of a traversal both ways that a node limit cuts: a level at a time,
+    in order of discovery; a level that does not fit is the last."""
+    ctes = [f"{_EDGES}, st AS (SELECT f AS near, t AS far, f || ':' || kind || ':' || t AS edge FROM e UNION ALL SELECT t, f, f || ':' || kind || ':' || t FROM e), n0 AS (SELECT '{root}' AS id, 0 AS depth, 0::BIGINT AS found)"]
+    nodes, total = "SELECT * FROM n0", "1"
+    for k in range(1, depth + 1):
+        ctes.append(f"m{k} AS (SELECT far, min((found, edge)) AS via FROM n{k - 1} JOIN st ON near = id WHERE far NOT IN (SELECT id FROM ({nodes})) GROUP BY far)")
+        open_ = "" if k == 1 else f" AND (SELECT count(*) FROM m{k - 1}) = (SELECT count(*) FROM n{k - 1})"
+        ctes.append(f"n{k} AS (SELECT * FROM (SELECT far AS id, {k} AS depth, row_number() OVER (ORDER BY via, far) AS found FROM m{k}) WHERE found <= {most} - ({total}){open_})")
+        nodes, total = f"{nodes} UNION ALL SELECT * FROM n{k}", f"{total} + (SELECT count(*) FROM n{k})"
+    grown = " UNION ALL ".join(f"SELECT n{k - 1}.id FROM n{k - 1}" + ("" if k == 1 else f" WHERE (SELECT count(*) FROM m{k - 1}) = (SELECT count(*) FROM n{k - 1})") for k in range(1, depth + 1))
+    return f"WITH {', '.join(ctes)}, n AS ({nodes}), grown AS ({grown}) SELECT id, depth, (SELECT count(*) > 0 FROM st WHERE near IN (SELECT id FROM grown) AND far NOT IN (SELECT id FROM n)) AS truncated FROM n"
+
+
+@registered(_bounded("part:7", 3, 40))
 def traverse_truncated(spark: SparkSession, d: str) -> DataFrame:
     t = traverse.traverse(star.entities(spark, d), star.relations(spark, d), "part:7", "both", 3, 40, ("calls", "imports", "references"))
     return t.nodes.withColumn("truncated", F.lit(t.truncated))
@@ -234,9 +257,14 @@ def impact(spark: SparkSession, d: str) -> DataFrame:
     return traverse.impact(star.entities(spark, d), star.relations(spark, d), "part:7", 3, 100_000)[0]
 
 
-@registered(_reach("both", "part:7", 2) + " SELECT depth, id, split_part(id, ':', 1) AS kind FROM n")
+@registered(_reach("both", "part:7", 2) + " SELECT depth, id, split_part(id, ':', 1) AS kind, CASE WHEN starts_with(id, 'supplier:') THEN split_part(id, ':', 2)::DOUBLE / 1e6 END AS stability FROM n")
 def dependencies(spark: SparkSession, d: str) -> DataFrame:
-    return traverse.dependencies(star.entities(spark, d), star.relations(spark, d), "part:7", "both", 2, None).select("depth", "id", "kind")
+    """Views of what part 7 meets; suppliers have scores, by their keys."""
+    k = F.regexp_extract("id", r"(\d+)$", 1).cast("double") / 1e6
+    made = F.array(*[F.struct(F.lit(SCORE_MODEL).alias("model"), F.lit(1).alias("version"), F.lit(n).alias("dimension"), k.alias("value")) for n in DIMENSIONS])
+    e = star.entities(spark, d).withColumn("scores", F.when(F.col("kind") == "supplier", made).otherwise(F.col("scores")))
+    found = traverse.dependencies(e, star.relations(spark, d), "part:7", "both", 2, None, include_scores=True)
+    return found.select("depth", "id", "kind", F.col("avec.stability").alias("stability"))
 
 
 _HISTORY = """
@@ -301,9 +329,9 @@ def _observers(spark: SparkSession, d: str) -> DataFrame:
     m = lambda name, v, unit: F.array(F.struct(F.lit(name).alias("name"), v.cast("double").alias("value"), F.lit(unit).alias("unit"), F.lit(None).cast("string").alias("observer"), F.lit(None).cast("double").alias("confidence")))
     s = lambda v: F.array(F.struct(F.lit("m").alias("model"), F.lit(1).alias("version"), F.lit("size").alias("dimension"), v.cast("double").alias("value")))
     base = lambda df, model, kind, label, attrs, ms, ss: df.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), model.alias("model"), kind.alias("kind"), label.alias("label"), attrs.alias("attributes"), ms.alias("measurements"), ss.alias("scores"))
-    a = base(docs, F.lit("text"), F.lit("unknown"), F.concat(F.lit("doc."), F.col("lang")), F.create_map(F.lit("lang"), F.col("lang")), m("chars", F.col("n_chars"), "c"), s(F.lit(0.5)))
-    b = base(docs, F.when(odd, "other").otherwise("text"), F.when(odd, "page").otherwise("document"), F.concat(F.lit("doc."), F.col("source"), F.lit("."), F.col("lang")), F.create_map(F.lit("lang"), F.when(odd, "xx").otherwise(F.col("lang"))), m("chars", F.length("text") + F.when(odd, 1).otherwise(0), "c"), s(F.when(odd, 0.6).otherwise(0.5)))
-    c = base(labels, F.lit("text"), F.lit("document"), F.lit("d"), F.create_map(F.lit("quality"), F.col("quality").cast("string")), m("quality", F.col("quality"), "q"), s(F.lit(0.5)))
+    a = base(docs, F.lit("text"), F.lit("unknown"), F.concat(F.lit("doc."), F.col("lang")), F.create_map(F.lit("lang"), F.col("lang")), m("chars", F.col("n_chars"), "c"), s(F.col("doc_id") % 10 / 10))
+    b = base(docs, F.when(odd, "other").otherwise("text"), F.when(odd, "page").otherwise("document"), F.concat(F.lit("doc."), F.col("source"), F.lit("."), F.col("lang")), F.create_map(F.lit("lang"), F.when(odd, "xx").otherwise(F.col("lang"))), m("chars", F.length("text") + F.when(odd, 1).otherwise(0), "c"), s(F.col("doc_id") % 10 / 10 + F.when(odd, 0.05).otherwise(0.0)))
+    c = base(labels, F.lit("text"), F.lit("document"), F.lit("d"), F.create_map(F.lit("quality"), F.col("quality").cast("string")), m("quality", F.col("quality"), "q"), s(F.col("doc_id") % 10 / 10))
     return merge.union_ranked([a, b, c])
 
 
@@ -335,7 +363,7 @@ def merge_measurements(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_measurements(_observers(spark, d)).select("id", "name", "value", F.col("n_values").cast("int").alias("n_values"))
 
 
-@registered("SELECT 'doc:' || doc_id AS id, 'size' AS dimension, 0.5::DOUBLE AS value, CASE WHEN doc_id % 97 = 0 THEN 2 ELSE 1 END AS n_values FROM documents")
+@registered("SELECT 'doc:' || doc_id AS id, 'size' AS dimension, (doc_id % 10)::DOUBLE / 10 AS value, CASE WHEN doc_id % 97 = 0 THEN 2 ELSE 1 END AS n_values FROM documents")
 def merge_scores(spark: SparkSession, d: str) -> DataFrame:
     return merge.merge_scores(_observers(spark, d)).select("id", "dimension", "value", F.col("n_values").cast("int").alias("n_values"))
 
@@ -355,17 +383,32 @@ def merge_coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_custkey").alias("id"), c.alias("coverage")).groupBy("id").agg(merge.merged_coverage().alias("coverage"))
 
 
-@registered("""WITH r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)
-SELECT 'duplicate_entity' AS rule, count(*) AS n FROM supplier WHERE s_suppkey % 10 = 0 HAVING count(*) > 0
-UNION ALL SELECT 'missing_endpoint', count(*) FROM r WHERE p % 50 = 0 HAVING count(*) > 0
-UNION ALL SELECT 'weight_out_of_range', count(*) FROM r WHERE s % 7 = 0 HAVING count(*) > 0""")
+@registered("""WITH r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), n AS (
+SELECT 'duplicate_entity' AS rule, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 = 0) AS n
+UNION ALL SELECT 'missing_endpoint', count(*) FROM r WHERE p % 50 = 0
+UNION ALL SELECT 'weight_out_of_range', count(*) FILTER (s % 7 = 0) + count(*) FILTER (s % 7 = 0 AND p % 40 = 1) FROM r
+UNION ALL SELECT 'duplicate_relation', count(*) FROM r WHERE p % 40 = 1
+UNION ALL SELECT 'foreign_snapshot', (SELECT count(*) FROM part WHERE p_partkey % 60 = 2) + (SELECT count(*) FROM r WHERE p % 70 = 3) + (SELECT count(*) FROM r WHERE p % 70 = 3 AND p % 40 = 1)
+UNION ALL SELECT 'measurement_not_finite', count(*) FROM part WHERE p_partkey % 80 IN (4, 5) AND p_partkey % 50 <> 0
+UNION ALL SELECT 'confidence_out_of_range', count(*) FROM part WHERE p_partkey % 80 IN (6, 7) AND p_partkey % 50 <> 0
+UNION ALL SELECT 'score_out_of_range', count(*) FROM part WHERE p_partkey % 80 IN (8, 9) AND p_partkey % 50 <> 0)
+SELECT * FROM n WHERE n > 0""")
 def validate_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Parts and suppliers with rows broken by rule: some suppliers twice, some
-    parts absent, some weights too large."""
-    e = star.entities(spark, d).where("kind IN ('part', 'supplier')")
+    """Parts and suppliers with rows that break each rule, by key."""
     number = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("long")
-    e = e.where(~((F.col("kind") == "part") & (number("id") % 50 == 0))).unionByName(e.where((F.col("kind") == "supplier") & (number("id") % 10 == 0)))
-    r = star.relations(spark, d).where("kind = 'imports'").withColumn("weight", F.when(number("to_id") % 7 == 0, 1.5).otherwise(F.col("weight")))
+    k, part = number("id"), F.col("kind") == "part"
+    e = star.entities(spark, d).where("kind IN ('part', 'supplier')")
+    e = e.where(~(part & (k % 50 == 0))).unionByName(e.where((F.col("kind") == "supplier") & (k % 10 == 0)))
+    value = F.when(part & (k % 80 == 4), float("nan")).when(part & (k % 80 == 5), float("-inf")).otherwise(1.0)
+    sure = F.when(part & (k % 80 == 6), -0.1).when(part & (k % 80 == 7), 1.5).when(k % 2 == 0, F.lit(None)).otherwise(1.0)
+    score = F.when(part & (k % 80 == 8), 1.01).when(part & (k % 80 == 9), float("nan")).otherwise(1.0)
+    e = e.withColumn("measurements", F.array(F.struct(F.lit("m").alias("name"), value.alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("o").alias("observer"), sure.alias("confidence"))))
+    e = e.withColumn("scores", F.array(F.struct(F.lit("x").alias("model"), F.lit(1).alias("version"), F.lit("y").alias("dimension"), score.alias("value"))))
+    e = e.withColumn("version", F.when(part & (k % 60 == 2), "v0").otherwise(F.col("version")))
+    a, b = number("from_id"), number("to_id")
+    r = star.relations(spark, d).where("kind = 'imports'").withColumn("weight", F.when(b % 7 == 0, 1.5).otherwise(F.col("weight")))
+    r = r.withColumn("world", F.when(a % 70 == 3, "elsewhere").otherwise(F.col("world")))
+    r = r.unionByName(r.where(a % 40 == 1))
     return validate.violations(e, r, star.WORLD, star.VERSION).groupBy("rule").agg(F.count("*").alias("n"))
 
 
@@ -404,10 +447,14 @@ def typed_attributes(spark: SparkSession, d: str) -> DataFrame:
     return e.select("id", "label", find.string_attribute("segment").alias("segment"), find.u32_attribute("nation").alias("nation"))
 
 
-@registered("""WITH r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem)
-SELECT 'supplier:' || s_suppkey AS id, s_name AS label, CAST(count(p) AS BIGINT) AS incoming, 0::BIGINT AS outgoing FROM supplier LEFT JOIN r ON s = s_suppkey GROUP BY 1, 2""")
+@registered(f"""WITH {star.SCORES_SQL}, r AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), o AS (SELECT DISTINCT l_orderkey, l_partkey AS p FROM lineitem)
+SELECT 'part:' || p_partkey AS id, p_name AS label, (SELECT count(*) FROM o WHERE p = p_partkey) AS incoming, (SELECT count(*) FROM r WHERE p = p_partkey) AS outgoing,
+       p_size::BIGINT AS size, round(s.stability, 6) AS stability, round(s.friction, 6) AS friction
+FROM part JOIN s ON s.id = 'part:' || p_partkey""")
 def node_view(spark: SparkSession, d: str) -> DataFrame:
-    e = star.entities(spark, d).where("kind = 'supplier'")
-    r = star.relations(spark, d).where("kind IN ('contains', 'imports')")
-    view = find.node_views(e, r)
-    return view.select("id", "label", F.size("incoming").cast("long").alias("incoming"), F.size("outgoing").cast("long").alias("outgoing"))
+    """Parts with their profiles, and their edges to suppliers and from orders."""
+    sizes = star.entities(spark, d).where("kind = 'part'").select("id", F.col("attributes").alias("own"))
+    e = derive.score(star.part_entities(spark, d)).join(sizes, "id").withColumn("attributes", F.col("own")).drop("own")
+    r = star.relations(spark, d).where("kind IN ('calls', 'imports', 'contains')")
+    view = find.node_views(e, r).join(e.select("id", find.u32_attribute("size").alias("size")), "id")
+    return view.select("id", "label", F.size("incoming").cast("long").alias("incoming"), F.size("outgoing").cast("long").alias("outgoing"), "size", r6("avec.stability").alias("stability"), r6("avec.friction").alias("friction"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.functions.scalars import json_string
 from orrery.functions.scores import METRICS, score_columns
 from orrery.schema import DIMENSIONS, MEASUREMENT, REQUIRED, SCORE, SCORE_MODEL, WEIGHTS
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _json(c: Column, kind: str) -> Column:
     """Canonical JSON text of a string or a number."""
-    return F.concat(F.lit('"'), c, F.lit('"')) if kind == "string" else c.cast("string")
+    return json_string(c) if kind == "string" else c.cast("string")
 
 
 def entity_frame(df: DataFrame, kind: str, key: str, label: str, attributes: dict[str, str]) -> DataFrame:
