@@ -413,10 +413,9 @@ def validate_batch(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages)
-SELECT DISTINCT page_id, target, 'module_' || left(sha256(lower('html:' || target)), 32) AS id FROM h WHERE NOT regexp_matches(target, '[^ -~]')""")
+SELECT DISTINCT page_id, target, 'module_' || left(sha256(lower('html:' || target)), 32) AS id FROM h""")
 def page_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Import edges of pages: the distinct targets of all their links. The SQL
-    knows those of printable ASCII only."""
+    """Import edges of pages: the distinct targets of all their links."""
     found = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("target")).distinct()
     return found.select("page_id", "target", scalars.module_id(F.lit("html"), F.col("target")).alias("id"))
 
