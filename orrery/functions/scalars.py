@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,6 +62,12 @@ def _lookup(table: dict[str, str], key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, however often body
+    names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_string(c: Column) -> Column:
     """A string as JSON text, escaped; null for null."""
     return F.when(c.isNotNull(), F.regexp_extract(F.to_json(F.struct(c.cast("string").alias("v"))), r'(?s)^\{"v":(.*)\}$', 1))

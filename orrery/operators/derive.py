@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.scalars import exact_u32, normalize_path
+from orrery.functions.scalars import exact_u32, let, normalize_path
 from orrery.functions.scores import METRICS, Weights, score_columns
 from orrery.operators.find import string_attribute, u32_attribute
 from orrery.schema import CODE_MODEL, REQUIRED, SCORE, SCORE_MODEL, MEASUREMENT
@@ -107,11 +107,6 @@ def derive_coverage(entities: DataFrame, report: DataFrame) -> DataFrame:
     return found.withColumn("measurements", F.when(F.col("line_coverage").isNotNull(), F.concat("measurements", made)).otherwise(F.col("measurements"))).drop("line_coverage", "branch_coverage")
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is computed once for a row."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def metrics(measurements: str = "measurements") -> Column:
     """A struct of the ten metrics of an entity's row, each from its best
     measurement (as best_measurements picks it); counts must be whole numbers
@@ -128,9 +123,9 @@ def metrics(measurements: str = "measurements") -> Column:
 
     def wide(found: Column) -> Column:
         best = {k: first(found, n) for k, n in zip(METRICS, REQUIRED, strict=True)}
-        return F.struct(*[(exact_u32(c) if k in METRICS[:7] else c).alias(k) for k, c in best.items()])
+        return F.struct(*[(let(c, exact_u32) if k in METRICS[:7] else c).alias(k) for k, c in best.items()])
 
-    return _let(ranked, wide)
+    return let(ranked, wide)
 
 
 def metrics_pivot(entities: DataFrame) -> DataFrame:
@@ -152,7 +147,7 @@ def score(entities: DataFrame, weights: Weights = Weights()) -> DataFrame:
         rest = F.filter("scores", lambda s: s["model"] != SCORE_MODEL)
         return F.when(fits, F.concat(rest, made)).otherwise(F.col("scores"))
 
-    return entities.withColumn("scores", _let(_let(metrics(), scored), replaced))
+    return entities.withColumn("scores", let(let(metrics(), scored), replaced))
 
 
 def file_history(changes: DataFrame, cutoff: int, path: str = "path", also: tuple[Column, ...] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.functions.scalars import ascii_lower, exact_u32
+from orrery.functions.scalars import ascii_lower, exact_u32, let
 from orrery.schema import DIMENSIONS, SCORE_MODEL, InvalidRequest
 
 
@@ -103,11 +103,18 @@ def summary(entities: DataFrame) -> DataFrame:
 def avec(dimensions: tuple[str, ...] = DIMENSIONS) -> Column:
     """The profile of the ranking model: a struct of the first score in each
     dimension; null unless all are there."""
-    first = lambda d: F.get(F.filter("scores", lambda s: (s["model"] == SCORE_MODEL) & (s["dimension"] == d)), F.lit(0))["value"]
-    whole = F.lit(True)
-    for d in dimensions:
-        whole = whole & first(d).isNotNull()
-    return F.when(whole, F.struct(*[first(d).alias(d) for d in dimensions]))
+
+    def first(own: Column, dimension: str) -> Column:
+        return F.get(F.filter(own, lambda s: s["dimension"] == dimension), F.lit(0))["value"]
+
+    def whole(profile: Column) -> Column:
+        there = F.lit(True)
+        for d in dimensions:
+            there = there & profile[d].isNotNull()
+        return F.when(there, profile)
+
+    own = F.filter("scores", lambda s: s["model"] == SCORE_MODEL)
+    return let(let(own, lambda x: F.struct(*[first(x, d).alias(d) for d in dimensions])), whole)
 
 
 def node_columns(include_scores: bool = True) -> list[Column]:

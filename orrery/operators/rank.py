@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orrery.schema import DIMENSIONS, REQUIRED, SCORE_MODEL, InvalidRequest
+from orrery.operators.find import avec
+from orrery.schema import DIMENSIONS, REQUIRED, InvalidRequest
 
 
 def _positive(limit: int) -> None:
@@ -20,9 +21,8 @@ def _positive(limit: int) -> None:
 def scores_pivot(entities: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
     """id, label, kind and one column per dimension: the first score of the
     ranking model, for entities that have all of them."""
-    first = lambda d: F.get(F.filter("scores", lambda s: (s["model"] == SCORE_MODEL) & (s["dimension"] == d)), 0)["value"]
-    wide = entities.select("id", "label", "kind", *[first(d).alias(d) for d in dimensions])
-    return wide.dropna(subset=list(dimensions))
+    whole = entities.select("id", "label", "kind", avec(dimensions).alias("avec")).where("avec IS NOT NULL")
+    return whole.select("id", "label", "kind", *[F.col("avec")[d].alias(d) for d in dimensions])
 
 
 def distance(profile: Mapping[str, float]) -> Column:
