@@ -18,8 +18,8 @@ any other first bigram lowers Dice. The passage that shares most bigrams with
 its template counts, then the one of greatest Dice, and only if its Dice is
 greater than that of every whole text or line.
 
-Templates are a short fixed list in this module, bounded by it, and are part
-of the plan as literals. Nothing is shuffled: all units of a document are
+Templates are a short list, of this module or given, and are part of the plan
+as literals. Nothing is shuffled: all units of a document are
 looked at in its own row.
 
 Defined results: null, empty and blank texts have no units and no licence;
@@ -228,17 +228,26 @@ def _passage(text: Column, grams: Column, known: list[tuple[str, list[str], int,
     return _let(met, lambda found: F.when(F.size(found) > 0, _let(_let(_words(text), _pairs), lambda pairs: best(pairs, found))))
 
 
-def scan(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(
+    docs: DataFrame,
+    text: str = "text",
+    threshold: float = THRESHOLD,
+    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    notices: tuple[tuple[str, str], ...] = NOTICES,
+) -> DataFrame:
     """docs with n_units, n_candidates (units within some template's bounds),
     n_matches (units that match, and one for a passage that is better), license
     and dice (of the best match; null if none) and matched_unit (the unit's
-    number: 0 the whole text, then lines; n_units for a passage)."""
+    number: 0 the whole text, then lines; n_units for a passage). templates are
+    compared with whole texts, lines and passages, notices with passages only;
+    both are (name, text) and become literals of the plan, so that they are to
+    be few: the licences that a corpus is asked for."""
     made = ("n_units", "n_candidates", "n_matches", "license", "dice", "matched_unit")
     step = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in made])
     prefix = free_prefix(step.columns)
     u, b, c, m, x, p = (prefix + name for name in ("u", "b", "c", "m", "x", "p"))
-    known = prepared(threshold)
-    longer = known + prepared(threshold, NOTICES)
+    known = prepared(threshold, templates)
+    longer = known + prepared(threshold, notices)
     lines = F.split(F.col(text), "\n")
     units = F.when(F.size(lines) > 1, F.concat(F.array(F.col(text)), lines)).when(F.regexp_count(text, F.lit(r"[\p{L}\p{N}]")) > 0, lines)
     step = step.withColumn(u, F.coalesce(units, F.array().cast("array<string>")))
