@@ -120,7 +120,7 @@ def near_group(rng, n=60, size=80):
 
 def test_hot_group_of_near_copies(spark, monkeypatch):
     """Buckets, centres, hubs and components beyond the bounds of hot keys."""
-    for module, name in ((neardup, "SLICE"), (components, "HUB")):
+    for module, name in ((neardup, "SLICE"), (neardup, "BUCKET_SLICE"), (neardup, "SMALL_ROWS"), (components, "HUB")):
         monkeypatch.setattr(module, name, 6)
     rng = np.random.default_rng(8)
     rows = near_group(rng) + [(k, " ".join(f"r{i}" for i in rng.integers(0, 900, 60))) for k in range(30)] + [(2000 + k, "the very same words in every one of these") for k in range(50)]
@@ -267,6 +267,36 @@ def test_license_files(spark):
     assert [r["license"] for r in got] == ["MIT"] * 2
 
 
+def test_license_templates_of_ones_own(spark):
+    own = (("Mine", "You may read this text aloud on Sundays only, and never to a cat."),)
+    rows = [(1, "x y\nyou may read this text aloud on sundays only, and never to a cat\nz"), (2, license.TEMPLATES[0][1]), (3, "so you may read this text\naloud on Sundays only, and never\nto a cat of mine or yours")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license.scan(df, templates=own, notices=()).collect()}
+    assert got == {1: "Mine", 2: None, 3: "Mine"}
+
+
+def test_workers_without_the_repository(tmp_path):
+    """Workers get the subpackage from the session, not from their path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = str(Path(packing.__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+from orrery.llm import entries, packing
+docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+print("rows", packing.pack_documents(docs, entries.tokenizer_path()).count())
+"""
+    bare = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=bare, capture_output=True, text=True, timeout=280)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_chat_of_long_conversations(spark):
     rng = np.random.default_rng(2)
     roles = ["user", "assistant", "tool"]
