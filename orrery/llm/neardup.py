@@ -14,7 +14,7 @@ Groups stay cheap whatever their size. Equal sets are one class, with one row
 from then on. Within a band's bucket every class is compared to one of them
 only (a star). Where that leaves a bucket in several components, classes
 of different components are compared with each other, so that no link between
-components is lost: blocks of 256 classes (or fewer long ones) meet in one task
+components is lost: blocks of 1024 classes (or fewer long ones) meet in one task
 at a time, which looks at a pair in the first band that both share, and returns
 only links that join components. A star's members travel in slices of 256, and
 the centre's sketch and set are sent once for each slice. Rows of hot buckets,
@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import kernels
 from orrery.llm.components import connected_components
-from orrery.llm.session import hot_keys, join_spread, nullable, prepare
+from orrery.llm.session import SMALL_ROWS, hot_keys, join_spread, nullable, prepare
 
 SHINGLE = 5
 REGISTERS, BAND = 128, 4
@@ -53,9 +53,9 @@ BASE, RATE, LARGEST = 1.001, 20.0, 65534
 FLOOR = 0.55
 #: Sets of so few shingles are known by a second hash of each.
 FEW = 8
-#: Members of a star that one slice compares, and shingles that a slice of a
-#: bucket holds about; ids that a broadcast may hold.
-SLICE, SLICE_SHINGLES, BROADCAST_IDS = 256, 1 << 21, 200_000
+#: Members of a star that one slice compares; classes and shingles that a slice
+#: of a bucket holds about; ids that a broadcast may hold.
+SLICE, BUCKET_SLICE, SLICE_SHINGLES, BROADCAST_IDS = 256, 1024, 1 << 21, 200_000
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -302,7 +302,7 @@ def _cross_links(docs: DataFrame, classes: DataFrame, bands: DataFrame, roots: D
     out = F.col("c") != F.col("cr")
     sizes = named.groupBy("bucket").agg(*[f(w).alias(f"{k}{s}") for s, w in (("o", out), ("i", ~out)) for k, f in (("k", F.count_if), ("n", lambda w: F.coalesce(F.sum(F.when(w, F.col("n"))), F.lit(0))))])
     sizes = sizes.where("ko > 0")
-    many = lambda s: F.ceil(F.greatest(F.col(f"k{s}") / SLICE, F.col(f"n{s}") / SLICE_SHINGLES)).cast("int").alias(f"s{s}")
+    many = lambda s: F.ceil(F.greatest(F.col(f"k{s}") / BUCKET_SLICE, F.col(f"n{s}") / SLICE_SHINGLES)).cast("int").alias(f"s{s}")
     dealt = join_spread(named, sizes.select("bucket", many("o"), many("i")), "bucket", hot)
     own = F.when(out, F.pmod(F.xxhash64("node"), F.col("so"))).otherwise(F.col("so") + F.pmod(F.xxhash64("node"), F.col("si"))).cast("int")
     upto = F.when(out, F.col("so") + F.col("si")).otherwise(F.col("so"))
@@ -337,10 +337,13 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     ).checkpoint()
     width = BAND * 2
     cuts = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND - 1)), lambda k: F.xxhash64(k, F.substring(F.col("registers"), k * width + 1, F.lit(width))))
-    bands = classes.select("node", "n", F.posexplode(cuts).alias("band", "bucket"))
-    roots = bands.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("root"), F.count("*").alias("size")).where("size > 1")
+    # a bucket's root is its oldest text, by doc_id: copies are nearer to what they
+    # were copied from than to each other
+    bands = classes.select("node", "n", "doc", F.posexplode(cuts).alias("band", "bucket"))
+    roots = bands.groupBy("bucket").agg(F.min(F.struct("doc", "node", "n")).alias("root"), F.count("*").alias("size")).where("size > 1")
+    bands = bands.drop("doc")
     roots = roots.select("bucket", F.col("root.node").alias("root"), F.col("root.n").alias("n_root"), F.col("size").alias("n")).checkpoint()
-    hot = hot_keys(roots, "bucket", SLICE, classes.count() * (REGISTERS // BAND))
+    hot = hot_keys(roots, "bucket", SMALL_ROWS, classes.count() * (REGISTERS // BAND))
     stars = join_spread(bands, roots.select("bucket", "root", "n_root"), "bucket", hot).checkpoint()
     near = f"node <> root AND 100 * least(n, n_root) >= {percent} * greatest(n, n_root)"
     links = _star_links(docs, classes, stars.where(near).select(F.col("root").alias("a"), F.col("node").alias("b")).distinct(), percent)
@@ -351,13 +354,13 @@ def _grouped(docs: DataFrame, percent: int) -> DataFrame:
     named = classes.select("node", "set_id", "doc").join(label, "node", "left").withColumn("c", F.coalesce("component", "node"))
     named = named.select("set_id", "doc", "c").checkpoint()
     of = named.groupBy("c").agg(F.count("*").alias("n"), F.min("doc").alias("component_id"))
-    large = hot_keys(of, "c", SLICE, classes.count())
+    large = hot_keys(of, "c", SMALL_ROWS, classes.count())
     placed = join_spread(named, of.drop("n"), "c", large)
     # of several texts under the component's id, one stands for it
     held = placed.where("doc = component_id").groupBy("c").agg(F.min("set_id").alias("holder"))
     placed = join_spread(placed, held, "c", large).select("set_id", "component_id", "holder")
     copies = sketches.groupBy("set_id").agg(F.count("*").alias("n"))
-    common = hot_keys(copies, "set_id", SLICE, sketches.count())
+    common = hot_keys(copies, "set_id", SMALL_ROWS, sketches.count())
     rows = sketches.select("doc_id", "n_shingles", "set_id")
     lone = copies.join(placed, "set_id", "left").select("set_id", "component_id", "holder")
     return join_spread(rows, lone, "set_id", common).select(

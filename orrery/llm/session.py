@@ -55,8 +55,9 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: A key is hot if it holds more than one of this many parts of the rows.
-HEAVY = 10_000
+#: A key is hot if it holds more than one of this many parts of the rows, and
+#: more rows than a task reads in a moment, if they are small.
+HEAVY, SMALL_ROWS = 10_000, 50_000
 
 
 def hot_keys(counts: DataFrame, key: str, floor: int, total: int) -> DataFrame | None:
