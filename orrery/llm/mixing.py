@@ -174,8 +174,9 @@ class Mix:
         return self.docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key, bucket, h.alias("h"), *carry)
 
     def _plan(self) -> None:
-        sums = self._sized(()).groupBy("sk", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words")).checkpoint()
-        sources = ranked(sums.groupBy("sk").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")))
+        sums = self._sized(()).groupBy("sk", "bucket").agg(F.sum("size").alias("words")).checkpoint()
+        named = F.when(F.col("sk") != "", F.expr("substring(sk, 2)")).alias("source")
+        sources = ranked(sums.groupBy("sk").agg(F.sum("words").alias("source_size")).select("*", named))
         sources = sources.withColumn("weight", weight_of(F.col("source_no"))).checkpoint()
         level = levels(sources, self.cap)
         most = (self.cap * F.col("source_size")).cast("double")
