@@ -292,6 +292,15 @@ def test_mixing_by_hand(docs):
     assert all(taken[r["h"]] == r["taken"] for r in mine if r["doc_id"] not in (7, None) and r["source"] is not None)
 
 
+def test_mixing_broadcasts_no_slots(docs):
+    """A few long documents hold more blocks, and a few runs more slots, than the driver could broadcast."""
+    mix = mixing.Mix(docs)
+    drawn = mix.drawn(mix.layout().checkpoint())
+    assert len(drawn.collect()) >= mix.total > 0
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan.split("Initial Plan")[0] and "Broadcast" not in plan
+
+
 def test_packing(docs):
     from tokenizers import Tokenizer
 
