@@ -11,8 +11,9 @@ window exceeds its capacity.
 Each task numbers its documents off into portions; portions of one number from
 TOGETHER neighbouring tasks are a group. So groups are bounded whatever the
 size of the corpus, and depend on no value that many rows could share. Only
-lengths and checksums are shuffled unless ids are asked for. A task encodes
-each distinct word once, and knows words by their bytes.
+lengths and checksums are shuffled unless ids are asked for. A worker encodes
+each distinct word once, as long as it remembers it, and knows words by their
+bytes.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each; very long texts become many whole windows; null doc_ids are
@@ -23,9 +24,10 @@ result. Which documents share a sequence depends on how docs are partitioned.
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from itertools import islice
 
 import numpy as np
@@ -39,17 +41,22 @@ from orrery.llm.session import prepare
 CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: Documents and tokens that fill a portion; tasks whose portions form a group.
 PORTION, PORTION_TOKENS, TOGETHER = 256, 1 << 19, 8
-#: Bytes of text tokenised at once; words that a worker remembers.
-CHUNK, REMEMBER = 1 << 20, 1_000_000
+#: Bytes of text tokenised at once; words that a worker remembers; words that
+#: one call encodes, as a call's cost a word grows with them.
+CHUNK, REMEMBER, LESSON = 1 << 22, 1_000_000, 1000
+#: Signs of ASCII that are a pre-token of their own after a letter: all but the
+#: apostrophe, which some pre-tokens begin with.
+_SIGNS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
 
 
 def _split_points(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words cut before a last run of commas and stops, if a small Latin letter
-    stands before it: pre-tokens part there anyway, and fewer are distinct."""
+    """Words cut before a last run of signs, if a small Latin letter stands before
+    it: pre-tokens part there anyway, and fewer are distinct."""
     stop = ends.copy()
-    for _ in range(3):
-        last = data[np.maximum(stop - 1, 0)]
-        stop -= ((last == 0x2C) | (last == 0x2E)) & (stop - starts > 1)
+    live = np.arange(len(stop))
+    for _ in range(8):
+        live = live[_SIGNS[data[stop[live] - 1]] & (stop[live] - starts[live] > 1)]
+        stop[live] -= 1
     last, before = data[np.maximum(stop - 1, 0)], data[np.maximum(stop - 2, 0)]
     plain = (last >= 0x61) & (last <= 0x7A)
     accented = (before == 0xC3) & (last >= 0xA0) & (last <= 0xBF) & (last != 0xB7) & (stop - starts > 1)
@@ -86,14 +93,16 @@ class WordTokenizer:
         self.at = np.zeros(1, np.int64)
 
     def _learn(self, fresh: list[bytes]) -> None:
-        texts = [w.decode() for w in fresh]
-        done = self.model.encode(" ".join(texts), add_special_tokens=False)
-        ids = np.array(done.ids, np.uint32)
-        begin = np.array([o[0] for o in done.offsets], np.int64)
-        starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        count = np.diff(np.searchsorted(begin, starts))
-        self.ids = np.concatenate((self.ids, ids))
-        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(count)))
+        ids, counts = [self.ids], []
+        for first in range(0, len(fresh), LESSON):
+            texts = [w.decode() for w in fresh[first : first + LESSON]]
+            done = self.model.encode(" ".join(texts), add_special_tokens=False)
+            ids.append(np.array(done.ids, np.uint32))
+            begin = np.array([o[0] for o in done.offsets], np.int64)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            counts.append(np.diff(np.searchsorted(begin, starts)))
+        self.ids = np.concatenate(ids)
+        self.at = np.concatenate((self.at, self.at[-1] + np.cumsum(np.concatenate(counts))))
 
     def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, where each begins) for the texts of an
@@ -123,6 +132,18 @@ class WordTokenizer:
         return ids, stop[np.searchsorted(starts, first)]
 
 
+@lru_cache(maxsize=1)
+def _kept(path: str, version: tuple) -> WordTokenizer:
+    return WordTokenizer(path)
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The file's tokenizer, which a worker keeps from task to task with the
+    words that it knows, until the file is another."""
+    now = os.stat(path)
+    return _kept(path, (now.st_mtime_ns, now.st_size, now.st_ino))
+
+
 def cuts(n: int, capacity: int, piece: int) -> list[int]:
     """Where the pieces of n tokens begin, and n."""
     whole = n // capacity * capacity
@@ -186,14 +207,28 @@ _NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "grp")
 _KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches of little text together, up to about CHUNK bytes; larger ones alone."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if held and total + batch.nbytes > CHUNK:
+            yield pa.Table.from_batches(held)
+            held, total = [], 0
+        held.append(batch)
+        total += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """The pieces of every document with the group that they go to."""
     from pyspark import TaskContext
 
-    tokenizer = WordTokenizer(path)
+    tokenizer = tokenizer_of(path)
     group = TaskContext.get().partitionId() // TOGETHER << 24
     held = tokens = 0
-    for batch in batches:
+    for batch in _gathered(batches):
         docs = batch.column("doc_id").to_pylist()
         raw, at = text_buffers(batch.column("text"))
         for part in blocks(np.diff(at), CHUNK):

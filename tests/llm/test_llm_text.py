@@ -327,3 +327,34 @@ def test_packing(docs):
     sums = np.bincount(window, lengths)
     assert sums.max() <= 2048 and len(sums) <= 1.02 * lengths.sum() / 2048 + 1
     assert packing.pack_documents(df.limit(0), path).count() == 0
+
+
+def test_packing_learns_words_once(tmp_path):
+    """Signs after a letter, another text or another task make no word a new one."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = entries.tokenizer_path()
+    model, own = Tokenizer.from_file(path), packing.WordTokenizer(path)
+    ends = ["", ",", "!!", "###", "$$$", "&&&", "%|", ",###", ".)", "'", "'!!", "_`", "≠", "!!x", "1!!", "~" * 12]
+    texts = [" ".join(w + e for e in ends) for w in ("able", "café", "DÉJÀ", "it's", "x")]
+    for t in texts:
+        ids, stop = own.encode(*kernels.text_buffers(pa.array([t, t])))
+        assert ids.tolist() == 2 * model.encode(t, add_special_tokens=False).ids and stop.tolist() == [0, len(ids) // 2, len(ids)]
+    own._forget()
+    own.encode(*kernels.text_buffers(pa.array(["able able!! able### able,$$$"])))
+    assert sorted(own.number) == [b"!!", b"###", b",$$$", b"able"]
+    copy = tmp_path / "tokenizer.json"
+    copy.write_bytes(open(path, "rb").read())
+    first = packing.tokenizer_of(str(copy))
+    assert packing.tokenizer_of(str(copy)) is first
+    copy.write_bytes(open(path, "rb").read() + b" ")
+    assert packing.tokenizer_of(str(copy)) is not first
+
+
+def test_packing_gathers_batches():
+    import pyarrow as pa
+
+    small = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * n]}) for i, n in enumerate([10, 10, packing.CHUNK + 1, 10, 10])]
+    got = [t.column("doc_id").to_pylist() for t in packing._gathered(iter(small))]
+    assert got == [[0, 1], [2], [3, 4]] and [*packing._gathered(iter([]))] == []
