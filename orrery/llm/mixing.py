@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from orrery.llm import kernels
 from orrery.llm.session import partitions, prepare
 from orrery.llm.text import word_count, words
+from orrery.llm.workers import lean
 
 BLOCK, CAP = 32, 3
 #: Shards at most, and slots that a shard holds about, at least.
@@ -129,6 +130,7 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+@lean
 def _draws(batches: Iterator[pa.RecordBatch], seed: int, shards: int) -> Iterator[pa.RecordBatch]:
     """Runs of slots: each source's quota dealt to the shards, in order."""
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
@@ -145,6 +147,7 @@ def _draws(batches: Iterator[pa.RecordBatch], seed: int, shards: int) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array(c).cast(k) for c, k in zip(columns, kinds, strict=True)], names=["shard", "source_no", "first", "count", "blocks"])
 
 
+@lean
 def _slots(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for shard, source, first, count, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):

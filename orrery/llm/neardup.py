@@ -45,6 +45,7 @@ from pyspark.sql import types as T
 from orrery.llm import kernels
 from orrery.llm.components import connected_components
 from orrery.llm.session import SMALL_ROWS, hot_keys, join_spread, nullable, prepare
+from orrery.llm.workers import lean
 
 SHINGLE = 5
 REGISTERS, BAND = 128, 4
@@ -104,6 +105,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+@lean
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets, ids = [*zip(*shingle_sets(*kernels.text_buffers(batch.column("text"))), strict=True)] or [(), ()]
@@ -135,6 +137,7 @@ def likelihood_estimate(r1: np.ndarray, r2: np.ndarray, n1: np.ndarray, n2: np.n
     return np.take_along_axis(grid, fit.argmax(1)[:, None], 1)[:, 0]
 
 
+@lean
 def _likely(batches: Iterator[pa.RecordBatch], floor: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -154,6 +157,7 @@ def _own_sets(batch: pa.RecordBatch) -> tuple[list[np.ndarray], pa.RecordBatch]:
     return sets, batch.drop_columns(["set_id", "text"]).filter(pa.array(right))
 
 
+@lean
 def _with_sets(batches: Iterator[pa.RecordBatch], sketched: bool) -> Iterator[pa.RecordBatch]:
     """Rows with hashes (of a set) in place of set_id and text, and registers."""
     for batch in batches:
@@ -171,6 +175,7 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[place] == y).sum())
 
 
+@lean
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (centre, salt, member), the centre's own (null member)
     first: links of members whose sets are similar enough. Holds one set."""
@@ -237,6 +242,7 @@ def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     return links
 
 
+@lean
 def _confirm_blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block; one block (two slices of classes) is held."""
     at, rows = None, []
@@ -374,6 +380,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return _grouped(docs, percent).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
+@lean
 def _with_set_id(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = [d for _, d in shingle_sets(*kernels.text_buffers(batch.column("text")))]

@@ -37,13 +37,14 @@ from pyspark.sql import functions as F
 
 from orrery.llm.kernels import blocks, same_spans, separated, span_hashes, text_buffers, word_spans
 from orrery.llm.session import prepare
+from orrery.llm.workers import keeps, lean
 
 CAPACITY, PIECE, END_ID = 2048, 512, 1
 #: Documents and tokens that fill a portion; tasks whose portions form a group.
 PORTION, PORTION_TOKENS, TOGETHER = 256, 1 << 19, 8
 #: Bytes of text tokenised at once; words that a worker remembers; words that
 #: one call encodes, as a call's cost a word grows with them.
-CHUNK, REMEMBER, LESSON = 1 << 22, 1_000_000, 1000
+CHUNK, REMEMBER, LESSON = 1 << 21, 250_000, 1000
 #: Signs of ASCII that are a pre-token of their own after a letter: all but the
 #: apostrophe, which some pre-tokens begin with.
 _SIGNS = np.isin(np.arange(256), np.frombuffer(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8))
@@ -137,9 +138,13 @@ def _kept(path: str, version: tuple) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+keeps(__name__, _kept.cache_clear)
+
+
 def tokenizer_of(path: str) -> WordTokenizer:
     """The file's tokenizer, which a worker keeps from task to task with the
-    words that it knows, until the file is another."""
+    words that it knows, until the file is another or a task of another module
+    begins."""
     now = os.stat(path)
     return _kept(path, (now.st_mtime_ns, now.st_size, now.st_ino))
 
@@ -221,6 +226,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+@lean
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, piece: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     """The pieces of every document with the group that they go to."""
     from pyspark import TaskContext

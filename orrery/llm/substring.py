@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import kernels
 from orrery.llm.session import nullable, partitions, prepare
+from orrery.llm.workers import lean
 
 WINDOW = 35
 #: Bytes of text that a chunk holds about, and whose blocks or candidate
@@ -185,6 +186,7 @@ def _ask_blocks(key: tuple, table: pa.Table, window: int, parts: int) -> pa.Tabl
     return _message_table(rows)
 
 
+@lean
 def _answer(batches):
     """For each part, index first: positions of the questions that are hit.
 
@@ -261,6 +263,7 @@ def _ask_windows(key: tuple, texts: pa.Table, answers: pa.Table, window: int, pa
     return _message_table(rows)
 
 
+@lean
 def _settle(batches):
     """For each part: of windows that come once in their chunks, the positions
     of those that another chunk has too. Messages of a part are gathered."""

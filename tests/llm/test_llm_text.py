@@ -358,3 +358,28 @@ def test_packing_gathers_batches():
     small = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["x" * n]}) for i, n in enumerate([10, 10, packing.CHUNK + 1, 10, 10])]
     got = [t.column("doc_id").to_pylist() for t in packing._gathered(iter(small))]
     assert got == [[0, 1], [2], [3, 4]] and [*packing._gathered(iter([]))] == []
+
+
+def test_workers_hold_little():
+    """Words that packing's tasks keep are bounded, and go when a task of another
+    stage begins in the same worker; a task of packing finds them again."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from orrery.llm import workers
+
+    path = entries.tokenizer_path()
+    own = packing.tokenizer_of(path)
+    own.encode(*kernels.text_buffers(pa.array([" ".join(f"w{i}" for i in range(300_000))])))
+    ids, _ = own.encode(*kernels.text_buffers(pa.array(["w7 and w299999"])))
+    assert ids.tolist() == Tokenizer.from_file(path).encode("w7 and w299999", add_special_tokens=False).ids
+    assert sorted(own.number) == [b"and", b"w299999", b"w7"]
+
+    def task(batches):
+        yield from batches
+
+    task.__module__ = packing.__name__
+    assert [*workers.lean(task)(iter([1, 2]))] == [1, 2] and packing.tokenizer_of(path) is own
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["a b c d e f"]})
+    assert next(neardup._sketch(iter([batch]))).column("n_shingles").to_pylist() == [2]
+    assert packing._kept.cache_info().currsize == 0
